@@ -3,6 +3,8 @@
 from ripplet.llm.bpe import op4_byte_bpe
 from ripplet.llm.embed_dedup import ORACLE as EMBED_SQL
 from ripplet.llm.embed_dedup import op8_embedding_dedup
+from ripplet.llm.minhash import ORACLE as MINHASH_SQL
+from ripplet.llm.minhash import op7_minhash_dedup
 from ripplet.llm.url_filter import ORACLE as URL_SQL
 from ripplet.llm.url_filter import op1_url_filter
 from ripplet.llm.warc import ORACLE as WARC_SQL
@@ -10,12 +12,14 @@ from ripplet.llm.warc import op3_warc
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op1_url_filter": op1_url_filter,
     "op3_warc": op3_warc,
 }
 
 ORACLES = {
+    "op7_minhash_dedup": MINHASH_SQL,
     "op8_embedding_dedup": EMBED_SQL,
     "op1_url_filter": URL_SQL,
     "op3_warc": WARC_SQL,
