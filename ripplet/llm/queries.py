@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from ripplet.llm.bpe import op4_byte_bpe
+from ripplet.llm.decontam import ORACLE as DECONTAM_SQL
+from ripplet.llm.decontam import op5_decontamination
 from ripplet.llm.embed_dedup import ORACLE as EMBED_SQL
 from ripplet.llm.embed_dedup import op8_embedding_dedup
 from ripplet.llm.minhash import ORACLE as MINHASH_SQL
@@ -12,6 +14,7 @@ from ripplet.llm.warc import op3_warc
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op1_url_filter": op1_url_filter,
@@ -19,6 +22,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_decontamination": DECONTAM_SQL,
     "op7_minhash_dedup": MINHASH_SQL,
     "op8_embedding_dedup": EMBED_SQL,
     "op1_url_filter": URL_SQL,
