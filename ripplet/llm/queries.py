@@ -5,6 +5,7 @@ from ripplet.llm.decontam import ORACLE as DECONTAM_SQL
 from ripplet.llm.decontam import op5_decontamination
 from ripplet.llm.embed_dedup import ORACLE as EMBED_SQL
 from ripplet.llm.embed_dedup import op8_embedding_dedup
+from ripplet.llm.langid import op10_language_id
 from ripplet.llm.minhash import ORACLE as MINHASH_SQL
 from ripplet.llm.minhash import op7_minhash_dedup
 from ripplet.llm.url_filter import ORACLE as URL_SQL
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_language_id": op10_language_id,
     "op1_url_filter": op1_url_filter,
     "op3_warc": op3_warc,
 }
