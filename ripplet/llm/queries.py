@@ -8,6 +8,7 @@ from ripplet.llm.embed_dedup import op8_embedding_dedup
 from ripplet.llm.langid import op10_language_id
 from ripplet.llm.minhash import ORACLE as MINHASH_SQL
 from ripplet.llm.minhash import op7_minhash_dedup
+from ripplet.llm.passages import op9_substring_dedup
 from ripplet.llm.url_filter import ORACLE as URL_SQL
 from ripplet.llm.url_filter import op1_url_filter
 from ripplet.llm.warc import ORACLE as WARC_SQL
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op1_url_filter": op1_url_filter,
     "op3_warc": op3_warc,
