@@ -5,6 +5,7 @@ from ripplet.llm.decontam import ORACLE as DECONTAM_SQL
 from ripplet.llm.decontam import op5_decontamination
 from ripplet.llm.embed_dedup import ORACLE as EMBED_SQL
 from ripplet.llm.embed_dedup import op8_embedding_dedup
+from ripplet.llm.html_text import op6_html_text
 from ripplet.llm.langid import op10_language_id
 from ripplet.llm.minhash import ORACLE as MINHASH_SQL
 from ripplet.llm.minhash import op7_minhash_dedup
@@ -17,6 +18,7 @@ from ripplet.llm.warc import op3_warc
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_html_text": op6_html_text,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
