@@ -7,6 +7,7 @@ from ripplet.llm.embed_dedup import ORACLE as EMBED_SQL
 from ripplet.llm.embed_dedup import op8_embedding_dedup
 from ripplet.llm.html_text import op6_html_text
 from ripplet.llm.langid import op10_language_id
+from ripplet.llm.licences import op2_licence_scan
 from ripplet.llm.minhash import ORACLE as MINHASH_SQL
 from ripplet.llm.minhash import op7_minhash_dedup
 from ripplet.llm.passages import op9_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op1_url_filter": op1_url_filter,
+    "op2_licence_scan": op2_licence_scan,
     "op3_warc": op3_warc,
 }
 
