@@ -125,8 +125,8 @@ def decode_ids(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> Da
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, bytes binary")
 
 
-def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again."""
+def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) and, if asked for, the ids: each text encoded, and its ids decoded again."""
     encoded = encode_texts(df, key, text, path, pattern, chunk, overlap)
     kind = encoded.schema[key].dataType.simpleString()
 
@@ -140,9 +140,9 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, chun
                 n.append(len(ids))
                 a.append(hashlib.sha256(raw).hexdigest())
                 d.append(hashlib.sha256(c.decode_bytes(list(ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([b.column("ids")] * keep_ids)], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    return encoded.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def vocabulary() -> tuple[str, str]:

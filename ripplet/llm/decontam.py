@@ -284,6 +284,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)).mapInArrow(run, schema)
 
 
+def remove_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with the spans of benchmark windows cut out; documents of which no word is left by that go."""
+    cols = docs.columns
+    at = cols.index(text)
+    marked = decontaminate(docs.withColumn("\x01key", F.lit(0)), benchmark, "\x01key", text, carry=tuple(cols)).select(*cols, F.col("spans").alias("\x01spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, keep = b.column(text).to_pylist(), [True] * b.num_rows
+            for i, spans in enumerate(b.column("\x01spans").to_pylist()):
+                if spans:
+                    raw, stop, parts = out[i].encode(), 0, []
+                    for s in spans:
+                        parts.append(raw[stop : s["start"]])
+                        stop = s["stop"]
+                    rest = b"".join([*parts, raw[stop:]])
+                    out[i], keep[i] = rest.decode(), bool((~NOT_WORD[np.frombuffer(rest, np.uint8)]).any())
+            arrays = [b.column(c) for c in cols]
+            arrays[at] = pa.array(out, b.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
+
+    return marked.mapInArrow(run, docs.schema)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(docs, bench).drop("items", "spans")

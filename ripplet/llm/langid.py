@@ -206,16 +206,18 @@ def identify(df: DataFrame, text: str, model: Model, keep: list[Column]) -> Data
     shared = spark.sparkContext.broadcast(model)
     kept = df.select(*keep)
     names = kept.columns
+    # the text goes to the workers once
+    own, more = (text, []) if text in names else ("\x01text", [F.col(text).alias("\x01text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in slices(batch, "\x01text", 1_000_000):
-                lang, score, rejected = m.predict(b.column("\x01text").to_pylist())
+            for b in slices(batch, own, 1_000_000):
+                lang, score, rejected = m.predict(b.column(own).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "lang_pred string, score double, rejected boolean"])
-    return df.select(*keep, F.col(text).alias("\x01text")).mapInArrow(run, schema)
+    return df.select(*keep, *more).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
