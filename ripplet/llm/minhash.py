@@ -7,10 +7,11 @@
    a star and never all pairs; the XOR population count of two sketches estimates their similarity and drops the
    pairs that are far below the threshold; full sets confirm the rest.
 4. Buckets whose members lie in one component after that are done. In the others, members of different components are
-   compared with each other (a join on the bucket, split by size where skewed), and confirmed in the same way.
+   compared with each other (a join on the bucket, split by size where skewed), unless their known distances from the
+   bucket's smallest id show that they can't be linked, and confirmed in the same way.
 
 With 25 bands of 5 rows a pair at 0.85 shares no band with a chance of 4e-7, and its sketches differ in more than
-MOST_APART bits with one of about 1e-7. Links are confirmed on the full sets of 64-bit shingle hashes, without any cap.
+MOST_APART bits with one of about 1e-8. Links are confirmed on the full sets of 64-bit shingle hashes, without any cap.
 
 Defined cases: null or empty text, or text without words: an empty set, no links, its own component. A text of one to
 four words: one shingle. Null id: the row links with nothing, its component is null and it is kept. Rows that repeat an
@@ -30,8 +31,10 @@ from ripplet.llm.cluster import components, discard, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 BANDS, ROWS, SKETCH_BITS = 25, 5, 256
-#: At a similarity of 0.85 the sketches of 125 samples differ in 33 bits on average, with a deviation below 9.
-MOST_APART = 80
+#: At a similarity of 0.85 the sketches of 125 samples differ in 33 bits on average, with a deviation below 7.
+MOST_APART = 72
+#: Candidate ids that may be broadcast to the texts (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(4711))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -106,29 +109,27 @@ def apart(a: str, b: str):
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = rows.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shingle_rows, "id long, sh binary")
+def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, common, total) of the pairs (a, b): the sizes of the intersection and of the union of their full sets."""
+    ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
+    # few ids go to the texts, many meet them in a shuffle
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    full = rows.join(side, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shingle_rows, "id long, sh binary")
     full = store(full, "full-sets")
-    both = pairs.join(full.withColumnRenamed("id", "b").withColumnRenamed("sh", "y"), "b").join(full.withColumnRenamed("id", "a").withColumnRenamed("sh", "x"), "a")
+    both = pairs.select("a", "b").join(full.withColumnRenamed("id", "b").withColumnRenamed("sh", "y"), "b").join(full.withColumnRenamed("id", "a").withColumnRenamed("sh", "x"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, last, mark = [], None, None
+            common, total = [], []
             for x, y in zip(b.column("x"), b.column("y")):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                n, m = len(p), len(q)
-                if 100 * min(n, m) < percent * max(n, m):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(p, q)
-                common = int((p[np.minimum(at, n - 1)] == q).sum())
-                keep.append(100 * common >= percent * (n + m - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(int((p[np.minimum(at, len(p) - 1)] == q).sum()))
+                total.append(len(p) + len(q) - common[-1])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    out = store(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "confirmed")
-    discard(full)
+    out = store(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, total long"), "compared")
+    discard(full, ids)
     return out
 
 
@@ -137,36 +138,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = rows.where("id is not null")
     signed = store(rows.mapInArrow(sign, SIGNED), "signed")
     some = signed.where("set_hash is not null and id is not null")
     classes = store(some.groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
     # rows of a representative's id that have another set stay in: an id is one vertex
     reps = signed.join(classes.select(F.col("set_hash").alias("h"), "rep"), (F.col("id") == F.col("rep")) & (F.col("set_hash") == F.col("h")), "left_semi").dropDuplicates(["id", "set_hash"])
-    buckets = store(reps.select("id", "sketch", F.posexplode("bands").alias("band", "key")), "buckets")
-    stars = buckets.groupBy("band", "key").agg(F.min_by(F.struct("id", "sketch"), "id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = store(stars.select("band", "key", F.col("low.id").alias("b"), F.col("low.sketch").alias("bs")), "stars")
-    members = buckets.join(stars, ["band", "key"])
-    pairs = store(members.where(F.col("id") > F.col("b")).where(apart("sketch", "bs") <= MOST_APART).select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    reps = store(reps.select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
+    sketch = reps.select("id", "n", "sketch")
+    buckets = reps.select(F.explode("bands").alias("key"), "id").distinct()
+    stars = buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").drop("most")
+    members = store(buckets.join(stars, "key"), "buckets")  # of shared buckets alone
+    linked_size = f"{percent} * greatest(n, m) <= 100 * least(n, m)"
+    other = sketch.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches let them be linked."""
+        with_a = pairs.join(sketch.withColumnRenamed("id", "a"), "a").withColumnRenamed("sketch", "s")
+        return with_a.join(other, "b").where(linked_size).where(apart("s", "t") <= MOST_APART).select("a", "b").distinct()
+
+    pairs = store(alike(members.where("id > b").select(F.col("id").alias("a"), "b").distinct()), "pairs")
     # classes join ids with several sets, or the same set under several ids, to their representative
     same = some.join(classes, "set_hash").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    linked = confirm(pairs, rows.where("id is not null"), percent)
-    comp = components(linked)
+    linked = f"100 * common >= {percent} * total"
+    first = compare(pairs, docs)
+    comp = components(first.where(linked))
     # buckets that still hold more than one component
-    placed = members.select("band", "key", "id", "sketch").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    open_rows = store(placed.join(mixed, ["band", "key"], "left_semi"), "open")
-    more = linked
+    placed = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    # each member's distance from its bucket's smallest id, as far as it is known
+    known = first.groupBy(F.col("a").alias("id"), "b").agg(F.min(1 - F.col("common") / F.col("total")).alias("d"))
+    open_rows = store(placed.join(mixed, "key", "left_semi").join(known, ["id", "b"], "left").withColumn("d", F.when(F.col("id") == F.col("b"), 0.0).otherwise(F.col("d"))), "open")
+    more = first.where(linked).select("a", "b")
     if not open_rows.isEmpty():
-        left = open_rows.select("band", "key", F.col("id").alias("a"), F.col("sketch").alias("s"), F.col("c").alias("ca"))
-        right = open_rows.select("band", "key", F.col("id").alias("b"), F.col("sketch").alias("t"), F.col("c").alias("cb"))
-        cross = left.join(right, ["band", "key"]).where("a > b and ca <> cb").where(apart("s", "t") <= MOST_APART).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        cross = store(cross, "cross-pairs")
+        left = open_rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"))
+        right = open_rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
+        # Jaccard distance is a metric: two sets are at least as far apart as their distances from a third differ
+        near = (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9) | F.col("da").isNull() | F.col("db").isNull()
+        cross = left.join(right, "key").where("a > b and ca <> cb").where(near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        cross = store(alike(cross), "cross-pairs")
         if not cross.isEmpty():
-            more = linked.unionByName(confirm(cross, rows.where("id is not null"), percent))
+            more = more.unionByName(compare(cross, docs).where(linked).select("a", "b"))
     final = components(more.unionByName(same))
     out = signed.select("id", "n_shingles").join(final, "id", "left")
     out = out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    discard(buckets, stars, open_rows, pairs, comp)
+    discard(members, open_rows, pairs, comp, reps)
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col(key) == F.col("component_id")))
 
 
