@@ -1,4 +1,6 @@
 """The registry of queries and of the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ripplet.plans import queries_ci, queries_graph, queries_history, queries_selection
+
+QUERIES: dict = {**queries_graph.QUERIES, **queries_selection.QUERIES, **queries_history.QUERIES, **queries_ci.QUERIES}
+ORACLES: dict = {**queries_graph.ORACLES, **queries_selection.ORACLES, **queries_history.ORACLES, **queries_ci.ORACLES}
