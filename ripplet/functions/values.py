@@ -60,12 +60,12 @@ def failure_class(text: str | Column, rules: list[tuple[str, list[str]]] | None
 
 #: What varies between two reports of one error, in the order in which it is blurred.
 BLUR: list[tuple[str, str]] = [
-    (r"/[A-Za-z0-9_./-]+(\.tsx?|\.jsx?|\.mjs|\.cjs)", "<path>"),
-    (r":\d+:\d+", ""),
+    (r"/[A-Za-z0-9_./-]+[.](?:[jt]sx?|[cm]js)", "<path>"),
+    (r"(?::[0-9]+){2}", ""),
     (r"\b[0-9a-fA-F]{7,40}\b", "<hash>"),
-    (r"\b\d{4}-\d{2}-\d{2}T[0-9:.]+Z?\b", "<timestamp>"),
-    (r"\b\d+ms\b|\b\d+(\.\d+)?s\b", "<duration>"),
-    (r"\b\d+\.\d+\b", "<duration>"),
+    (r"\b[0-9]{4}(?:-[0-9]{2}){2}T[0-9:.]+Z?\b", "<timestamp>"),
+    (r"\b(?:[0-9]+m|[0-9]+(?:[.][0-9]+)?)s\b", "<duration>"),
+    (r"\b[0-9]+[.][0-9]+\b", "<duration>"),
     (r"[\s]+", " "),
 ]
 
@@ -86,9 +86,9 @@ def signature(path: str | Column, title: str | Column, message: str | Column) ->
     c = lambda x: F.col(x) if isinstance(x, str) else x
     first = F.regexp_extract(F.trim(F.coalesce(c(message), F.lit(""))), r"^([^\r\n]*)", 1)
     empty = (first == "") & (F.coalesce(c(title), F.lit("")) == "")
-    generic = first.rlike("(?i)process completed with exit code|^command failed|elifecycle|exited with code")
+    generic = first.rlike("(?i)exited with code|elifecycle|^command failed|process completed with exit code")
     place = F.coalesce(c(path), F.lit(""))
-    blurred = F.regexp_replace(F.concat_ws(" :: ", place, F.coalesce(c(title), F.lit("")), first), r"/tmp/\S+|[0-9a-f]{7,}|\d+(\.\d+)?", "#")
+    blurred = F.regexp_replace(F.concat_ws(" :: ", place, F.coalesce(c(title), F.lit("")), first), r"/tmp/\S+|[a-f0-9]{7,}|[0-9]+(?:[.][0-9]+)?", "#")
     return F.when(~empty & ~generic & ~place.isin("", ".github"), F.substring(blurred, 1, 300))
 
 

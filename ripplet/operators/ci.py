@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VERDICTS = ["preventable", "partly", "likely", "shared", "ci-only", "flaky", "infra"]
+VERDICTS = "flaky infra ci-only shared likely partly preventable".split()
 IDLE = ["action_required", "skipped", "startup_failure"]
 
 
@@ -29,11 +29,13 @@ CHECK = _words(
     "integration", "spec", "check",
 )
 LOCAL_WORKFLOW = _words("lint(ing)?", "unit[- ]?tests?", "type[- ]?checks?", "static[- ]analysis")
-GATE = r"(?i)^(gate|verify|required|ci|status|summary|results?|conclusion|complete|done|finish(ed)?|success|alls-green|check[- ]results?|(pr|ci|merge|build|test|checks?)[- ]?gate|ci[- ]?(success|ok|passed|status|result)|all[- ]?(checks|required|green|jobs)?([- ]?(pass|passed|ok|green))?)$"
-GATE_END = r"(?i)(^|\s-\s|\s)(status[- ]checks?|require[sd]?[- ]all[- ]checks?([- ]to)?[- ](pass(ed)?|succeed(ed)?))$"
+_ENDS = "gate verify required ci status summary result results conclusion complete done finish finished success alls-green"
+_GATES = [_ENDS.replace(" ", "|"), "check[ -]results?", "(?:checks?|test|build|merge|ci|pr)[ -]?gate", "ci[ -]?(?:success|ok|passed|status|result)", "all[ -]?(?:checks|required|green|jobs)?(?:[ -]?(?:pass|passed|ok|green))?"]
+GATE = f"(?i)^(?:{'|'.join(_GATES)})$"
+GATE_END = r"(?i)(?:^|\s)(?:status[\s-]checks?|required?s?[\s-]all[\s-]checks?(?:[\s-]to)?[\s-](?:passed|pass|succeeded|succeed))$"
 TIMEOUT = "(?i)timed out|timeout"
-AGENT = r"(?i)^(claude|codex|copilot|cursor|devin|jules)[/-]"
-TRAILER = r"(?i)co-authored-by:[^\n]*?\b(claude|codex|copilot|cursor|devin|jules|aider|windsurf)\b"
+AGENT = r"(?i)^(jules|devin|cursor|copilot|codex|claude)[-/]"
+TRAILER = r"(?i)co-authored-by:.*?\b(aider|jules|devin|cursor|copilot|codex|claude|windsurf)\b"
 
 
 def job_name(name: str | Column) -> Column:

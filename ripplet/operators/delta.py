@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ripplet.functions.paths import basename, dirname, extension
 
 CHANGE_TYPES = {"A": "added", "C": "copied", "D": "deleted", "M": "modified", "R": "renamed", "T": "type-changed", "U": "unmerged"}
-SOURCE = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".py", ".go", ".rs"]
-ASSETS = [".css", ".scss", ".less", ".svg", ".png", ".jpg", ".gif", ".webp", ".woff2", ".ico"]
-LOCKFILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "Cargo.lock", "go.sum"]
+SOURCE = ".rs .go .py .vue .ts .tsx .mts .cts .js .jsx .mjs .cjs".split()
+ASSETS = ".css .scss .less .svg .png .jpg .gif .webp .woff2 .ico".split()
+LOCKFILES = "go.sum Cargo.lock bun.lockb yarn.lock pnpm-lock.yaml package-lock.json".split()
 
 
 def change_kind(status: str | Column) -> Column:
@@ -31,7 +31,7 @@ def reasons(change_type: str | Column) -> Column:
 
 def is_test(path: str | Column) -> Column:
     p = F.col(path) if isinstance(path, str) else path
-    return p.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$|_test\.(go|py)$|(^|/)test_[^/]*\.py$|(^|/)__tests__/")
+    return p.rlike(r"[.](spec|test)[.][cm]?[jt]sx?$|_test[.](go|py)$|(^|/)test_[^/]*[.]py$|(^|/)__tests__/")
 
 
 def category(path: str | Column) -> Column:

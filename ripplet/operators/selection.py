@@ -50,7 +50,7 @@ def first_existing(references: DataFrame, candidates: Column, files: DataFrame)
 
 def import_candidates(base: Column) -> Column:
     """What a relative import may mean, in order: the file, its source extensions, its index files."""
-    ends = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js"]
+    ends = ["", *".ts .tsx .d.ts .js .jsx .mjs .cjs .json /index.ts /index.tsx /index.js".split()]
     return F.array(*(F.concat(base, F.lit(e)) for e in ends))
 
 
@@ -98,7 +98,7 @@ def path_baseline(changed: DataFrame, tests: DataFrame) -> DataFrame:
     Documents alone: nothing. A manifest, CI or database path, a path no test directory is above, or no scope: all tests.
     """
     docs = F.col("path").rlike(r"(?i)\.(md|mdx|txt|rst)$") | F.col("path").rlike("^docs/")
-    hard = F.col("path").rlike(r"(^|/)(package\.json|package-lock\.json|pnpm-lock\.yaml|yarn\.lock|go\.mod|Cargo\.toml|pom\.xml)$|^\.github/|(^|/)(migrations|prisma|db|infra|terraform|k8s)/|(^|/)Dockerfile")
+    hard = F.col("path").rlike(r"(^|/)(pom[.]xml|Cargo[.]toml|go[.]mod|yarn[.]lock|package(-lock)?[.]json|pnpm-lock[.]yaml)$|^\.github/|(^|/)(migrations|prisma|db|infra|terraform|k8s)/|(^|/)Dockerfile")
     flags = changed.agg(F.coalesce(F.bool_and(docs), F.lit(True)).alias("docs"), F.coalesce(F.bool_or(hard), F.lit(False)).alias("hard"), F.count_if(~docs).alias("code"))
     rows = changed.where(~docs).select("path")
     scopes = tests.select(dirname("path").alias("dir")).where("dir <> ''").distinct().withColumn("owner", F.col("dir"))

@@ -16,7 +16,7 @@ _J = sql("ci_run", "ci_job", "annotation")
 _BUCKET = """case when not steps_known and j.conclusion <> 'failure' then 'infra' when steps_known and step = '' then 'infra' when step = 'Set up node' then 'infra' when step = 'Check lockfile' then 'ci-only'
   when name in ('E2E tests', 'deploy') then 'ci-only' when name in ('lint', 'CI / unit tests', 'build (ubuntu)', 'typecheck', 'all checks passed') then case when name = 'all checks passed' then case when workflow_name = 'Unit tests' then 'check' else 'ci-only' end else 'check' end
   when workflow_name = 'Unit tests' then 'check' else 'ci-only' end"""
-_SIG = "sig as (select distinct job, regexp_replace(concat(path, ' :: ', title, ' :: ', message), '/tmp/\\S+|[0-9a-f]{7,}|\\d+(\\.\\d+)?', '#', 'g') as signature from annotation)"
+_SIG = "sig as (select distinct job, regexp_replace(concat(path, ' :: ', title, ' :: ', message), '/tmp/\\S+|[a-f0-9]{7,}|[0-9]+(?:[.][0-9]+)?', '#', 'g') as signature from annotation)"
 # numbers are blurred, so that the place of a failure is told by letters here
 _SIGS = "sig as (select distinct l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000 as job, concat('sig', chr(cast(97 + l_partkey % 26 as integer)), chr(cast(97 + (l_partkey // 26) % 26 as integer)), chr(cast(97 + cast(l_quantity as bigint) % 26 as integer)), case when l_partkey % 9 = 0 then ' timed out' else '' end) as signature from lineitem where l_partkey % 4 <> 3)"
 _FAIL = f"""failing as (select j.*, r.pr, r.workflow_name, {_BUCKET} as bucket, name = 'all checks passed' as gate from ci_job j join ci_run r on r.run = j.run where r.conclusion = 'failure' and j.conclusion in ('failure', 'timed_out')),

@@ -13,7 +13,7 @@ _C, _F = sql("file_change"), sql("file")
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
 _EXT = "lower(regexp_extract(path, '(\\.[^./]+)$', 1))"
 _DIR = "regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1)"
-_TEST = r"regexp_matches(path, '\.(test|spec)\.[cm]?[jt]sx?$|_test\.(go|py)$|(^|/)test_[^/]*\.py$|(^|/)__tests__/')"
+_TEST = r"regexp_matches(path, '[.](spec|test)[.][cm]?[jt]sx?$|_test[.](go|py)$|(^|/)test_[^/]*[.]py$|(^|/)__tests__/')"
 
 
 @R.add("delta_summary", f"""{_C} select count(*) as total, {", ".join(f"count(*) filter (where change_type = '{t}') as {t.replace('-', '_')}" for t in d.CHANGE_TYPES.values())} from file_change""")
@@ -212,7 +212,7 @@ def baseline_scoped(spark, sf):
 @R.add(
     "join_import_resolution",
     f"""{_F}, ref as (select ord, concat({_DIR}, '/f', cast(ord + case ord % 3 when 0 then 0 when 1 then 7 else 100000 end as varchar)) as base from file),
-    c as (select ref.ord, f.path, case {" ".join(f"when f.path = base || '{e}' then {i}" for i, e in enumerate(["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json"]))} else 99 end as n from ref join file f on starts_with(f.path, base || '.') or f.path = base)
+    c as (select ref.ord, f.path, case {" ".join(f"when f.path = base || '{e}' then {i}" for i, e in enumerate(["", *".ts .tsx .d.ts .js .jsx .mjs .cjs .json".split()]))} else 99 end as n from ref join file f on starts_with(f.path, base || '.') or f.path = base)
     select ref.ord, base, x.path as resolved from ref left join (select ord, arg_min(path, n) as path from c where n < 99 group by ord) x on x.ord = ref.ord""",
 )
 def imports(spark, sf):

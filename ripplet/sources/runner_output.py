@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ripplet.functions.values import duration_ms
 
 _ANSI = "\u001b\\[[0-9;]*[A-Za-z]"
-_VITEST = r"^\s*([✓✔❯×✗])\s+(\S+\.(?:test|spec)\.[cm]?[jt]sx?)\b.*?(?:\s([0-9.]+)\s?(ms|s))?\s*$"
-_JEST = r"^\s*(PASS|FAIL)\s+(\S+\.(?:test|spec)\.[cm]?[jt]sx?)(?:\s+\(([0-9.]+)\s?(ms|s)\))?"
+_VITEST = r"^\s*([✓✔❯×✗])\s+(\S+[.](?:spec|test)[.][cm]?[jt]sx?)\b.*?(?:\s([0-9.]+)\s?(ms|s))?\s*$"
+_JEST = r"^\s*(PASS|FAIL)\s+(\S+[.](?:spec|test)[.][cm]?[jt]sx?)(?:\s*\(([0-9.]+) ?(ms|s)\))?"
 _PYTEST = r"^(\S+\.py)(?:::\S+)?\s+(PASSED|FAILED|ERROR|[.FEsx]+)\b"
 _GO = r"^(ok|FAIL|---\s*FAIL:)\s+(\S+)(?:\s+([0-9.]+)(s))?"
 
@@ -43,5 +43,5 @@ def read_go_results(outputs: DataFrame, key: str, column: str) -> DataFrame:
 
 def failing_names(outputs: DataFrame, key: str, column: str) -> DataFrame:
     """(key, name): names of failing tests as runners list them."""
-    name = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*(?:FAIL|×|✗|✖|●)\s+(.+?)(?:\s+\d+(?:\.\d+)?\s?m?s)?\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^not ok \d+ - (.+?)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^FAILED (\S+)", 1), F.lit("")))
+    name = F.coalesce(F.nullif(F.regexp_extract("line", r"^ *(?:●|✖|✗|×|FAIL) +(.+?)(?: +[0-9.]+ ?m?s)? *$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^not ok \d+ - (.+?)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^FAILED (\S+)", 1), F.lit("")))
     return lines(outputs, key, column).select(key, name.alias("name")).where("name is not null").distinct()

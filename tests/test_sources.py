@@ -26,7 +26,7 @@ def test_name_status_and_numstat(spark):
 
 
 XML = """<?xml version="1.0"?><testsuites><testsuite name="outer" file="a.test.ts" tests="3">
-<testcase name="one" classname="k"/><testsuite name="inner"><testcase name="two"><failure>x</failure></testcase><testcase name="two" file="b.test.ts"><skipped/></testcase></testsuite>
+<testcase name="one" classname="k"/><testsuite name="inner"><testcase name="two"><failure>x</failure></testcase><testcase name="two" file="other.test.ts"> <skipped /> </testcase></testsuite>
 </testsuite></testsuites>"""
 
 
@@ -34,7 +34,7 @@ def test_junit(spark):
     df = spark.createDataFrame([(1, XML), (2, "<testsuite tests='2'><testcase name='a'/></testsuite>"), (3, "<a"), (4, None)], "report int, xml string")
     rows = junit.read_junit(df, "report", "xml").collect()
     one = [(r.name, r.file, r.suites, r.failed, r.skipped) for r in sorted(rows, key=lambda r: (r.report, r.ord)) if r.report == 1]
-    assert one == [("one", "a.test.ts", ["outer"], False, False), ("two", "a.test.ts", ["outer", "inner"], True, False), ("two", "b.test.ts", ["outer", "inner"], False, True)]
+    assert one == [("one", "a.test.ts", ["outer"], False, False), ("two", "a.test.ts", ["outer", "inner"], True, False), ("two", "other.test.ts", ["outer", "inner"], False, True)]
     assert all(r.problem and r.failed is None for r in rows if r.report > 1) and len(rows) == 6
     ids = junit.case_ids(junit.read_junit(df.where("report = 1"), "report", "xml")).withColumn("id", F.regexp_replace("id", "^[^>]*> ", ""))
     merged = {r.id: (r.file, r.failed, r.skipped) for r in merged_cases(ids).collect()}
