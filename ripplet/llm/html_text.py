@@ -35,7 +35,7 @@ EVENT = re.compile(
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:'([^']*)'|"([^"]*)"|([^\s>"']+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
