@@ -26,7 +26,7 @@ def test_name_status_and_numstat(spark):
 
 
 XML = """<?xml version="1.0"?><testsuites><testsuite name="outer" file="a.test.ts" tests="3">
-<testcase name="one" classname="k"/><testsuite name="inner"><testcase name="two"><failure>x</failure></testcase><testcase name="two" file="other.test.ts"> <skipped /> </testcase></testsuite>
+<testcase name="one" classname="k"/><testsuite name="inner"><testcase name="two"><failure>x</failure></testcase><testcase name="two" file="other.test.ts"> <skipped message="m"/> </testcase></testsuite>
 </testsuite></testsuites>"""
 
 
