@@ -62,6 +62,15 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Ids that may be broadcast (8 bytes each): more meet the rows in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose `id` is among the distinct, stored `ids(id)`: broadcast as far as their number is bounded, so that texts needn't move."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of `edges(a, b)`: (id, component) with the smallest id of each, for ids that have an edge.
 

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import components, discard, ship, store
+from ripplet.llm.cluster import components, discard, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 BANDS, ROWS, SKETCH_BITS = 25, 5, 256
 #: At a similarity of 0.85 the sketches of 125 samples differ in 33 bits on average, with a deviation below 7.
 MOST_APART = 72
-#: Candidate ids that may be broadcast to the texts (8 bytes each).
-BROADCAST_IDS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(4711))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -112,9 +110,7 @@ def apart(a: str, b: str):
 def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, common, total) of the pairs (a, b): the sizes of the intersection and of the union of their full sets."""
     ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
-    # few ids go to the texts, many meet them in a shuffle
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    full = rows.join(side, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shingle_rows, "id long, sh binary")
+    full = only(rows, ids).dropDuplicates(["id", "text"]).mapInArrow(_shingle_rows, "id long, sh binary")
     full = store(full, "full-sets")
     both = pairs.select("a", "b").join(full.withColumnRenamed("id", "b").withColumnRenamed("sh", "y"), "b").join(full.withColumnRenamed("id", "a").withColumnRenamed("sh", "x"), "a")
 

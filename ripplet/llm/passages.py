@@ -7,14 +7,15 @@ share subsequences with equal min-hash.
 
 1. Every text's signatures, by sliding minima (a node spans enough words exactly if it is a minimum of some window).
 2. Documents that share a signature meet at the smallest of their ids: a star for each signature, never all pairs.
-3. For each pair the windows of both are joined again by signature; overlapping intervals on one diagonal make a seed if
-   at least ENOUGH functions agree; the seed grows to the longest stretch whose shingles agree in the given
-   proportion, and the Jaccard similarity of both passages' full shingle sets has the last word.
-4. Where a pair shares a signature but no passage there, its document looks again: signatures joined with a hash of the
+3. For each pair with at least ENOUGH signatures in common the windows of both are joined again by signature; a seed
+   grows to the longest stretch whose shingles agree in the given proportion, along one diagonal with some drift, and
+   the Jaccard similarity of both passages' full shingle sets has the last word.
+4. Where such a pair has no passage in common, its document looks again: signatures joined with a hash of the
    words before or after them find the smallest id that shares these too.
 
-A passage that is repeated exactly, with `least` words or more, shares a signature for certain, whatever surrounds it.
-Every step is linear in signatures; nothing is capped.
+A passage that is repeated exactly, with `least` words or more, shares a signature of every function, whatever
+surrounds it; one at the lowest similarity and length shares two of four with a chance of 0.97, longer ones have more
+windows. Every step is linear in signatures; nothing is capped.
 
 Defined cases: null, empty and short texts repeat nothing; null ids are left out; of repeated ids every row counts, but a
 document never matches itself; empty tables give empty tables. Further columns are ignored.
@@ -22,17 +23,19 @@ document never matches itself; empty tables give empty tables. Further columns a
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import discard, ship, store
+from ripplet.llm.cluster import discard, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
-HASHES, ENOUGH, SHINGLE, LEAST, SIMILAR = 4, 1, 5, 50, 0.8
+HASHES, ENOUGH, SHINGLE, LEAST, SIMILAR = 4, 2, 5, 50, 0.8
 #: Shingles by which the two passages of a pair may drift apart; unmatched shingles in a row that end a passage; words around a signature.
 DRIFT, GAP, CONTEXT = 64, 24, 22
 _rng = np.random.Generator(np.random.PCG64(909))
@@ -40,14 +43,24 @@ _FUNCTION = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _LOW = U(0xFFFFFFFF)
 
 
+def values(sh: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.uint64]:
+    """(hash of each shingle with its position in the low bits, mask of these).
+
+    A shingle like the one before it adds nothing to a set and is never the smallest: a word said a hundred times is no hundred windows.
+    """
+    n = len(sh)
+    low = (U(1) << U(max(1, (n - 1).bit_length()))) - U(1)
+    v = mix(sh * _FUNCTION[k]) & ~low
+    v[1:][(sh[1:] == sh[:-1]) & (row[1:] == row[:-1])] = ~low
+    return v | np.arange(n, dtype=np.uint64), low
+
+
 def minima(sh: np.ndarray, row: np.ndarray, span: int, k: int) -> np.ndarray:
     """Positions whose node in the Cartesian tree of function k spans at least `span` shingles of one row."""
     n = len(sh)
     if n < span:
         return np.zeros(0, np.int64)
-    bits = U(max(1, (n - 1).bit_length()))
-    low = (U(1) << bits) - U(1)
-    v = (mix(sh * _FUNCTION[k]) & ~low) | np.arange(n, dtype=np.uint64)
+    v, low = values(sh, row, k)
     width = 1
     while width * 2 <= span:
         v = np.minimum(v[: len(v) - width], v[width:])
@@ -64,10 +77,9 @@ def minima(sh: np.ndarray, row: np.ndarray, span: int, k: int) -> np.ndarray:
 
 def windows(sh: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
     """The compact windows (l, c, r) of one text for function k."""
-    at = minima(sh, np.zeros(len(sh), np.int8), span, k)
-    bits = U(max(1, (len(sh) - 1).bit_length()))
-    low = (U(1) << bits) - U(1)
-    v = ((mix(sh[at] * _FUNCTION[k]) & ~low) | at.astype(np.uint64)).tolist()
+    row = np.zeros(len(sh), np.int8)
+    at = minima(sh, row, span, k)
+    v = values(sh, row, k)[0][at].tolist() if len(at) else []
     # the smaller neighbours of a node that spans enough span enough themselves, so the nodes are enough to find the ends
     left, right, stack = [0] * len(v), [len(sh) - 1] * len(v), []
     for i, x in enumerate(v):
@@ -114,109 +126,174 @@ def _signature_rows(span: int, context: bool):
     return run
 
 
+def all_windows(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(function, l, c, r) of the compact windows of one text for every function, by place; the same as `windows`, at once."""
+    n = len(sh)
+    none = np.zeros(0, np.int64)
+    if n < span:
+        return none, none, none, none
+    row = np.zeros(n, np.int8)
+    v = np.stack([values(sh, row, k)[0] for k in range(HASHES)])
+    low = (U(1) << U(max(1, (n - 1).bit_length()))) - U(1)
+    m, width = v, 1
+    while width * 2 <= span:
+        m = np.minimum(m[:, : m.shape[1] - width], m[:, width:])
+        width *= 2
+    if width < span:
+        m = np.minimum(m[:, : n - span + 1], m[:, span - width :])
+    new = np.ones(m.shape, bool)
+    new[:, 1:] = m[:, 1:] != m[:, :-1]
+    k, at = np.nonzero(new)
+    c = (m[k, at] & low).astype(np.int64)
+    left, right = np.zeros(len(c), np.int64), np.full(len(c), n - 1)
+    for f in range(HASHES):
+        own = np.flatnonzero(k == f)
+        x, places, stack = v[f, c[own]].tolist(), c[own].tolist(), []
+        for i, value in enumerate(x):
+            while stack and x[stack[-1]] > value:
+                right[own[stack.pop()]] = places[i] - 1
+            if stack:
+                left[own[i]] = places[stack[-1]] + 1
+            stack.append(i)
+    order = np.argsort(c, kind="stable")
+    return k[order], left[order], c[order], right[order]
+
+
 class Text:
-    """A text of a pair: its shingles, sorted for lookup, and its windows by signature."""
+    """A text of a pair: its shingles and, made when they are asked for, their order and its windows by signature."""
 
     def __init__(self, word: bytes, span: int):
         w = np.frombuffer(word, np.uint32).astype(np.uint64)
         self.sh, _ = shingles(w, np.array([0, len(w)]), SHINGLE)
         self.span = span
-        order = np.argsort(self.sh, kind="stable")
-        self.value, self.place = self.sh[order], order
-        self._index: dict | None = None
-
-    def nodes(self):
-        for k in range(HASHES):
-            for n in windows(self.sh, self.span, k):
-                yield (k, int(self.sh[n[1]])), n
-
-    def index(self) -> dict:
-        if self._index is None:
-            self._index = {}
-            for s, n in self.nodes():
-                self._index.setdefault(s, []).append(n)
-        return self._index
-
-
-def aligned(a: Text, b: Text, shift: int) -> np.ndarray:
-    """For each shingle of b, the place of an equal one of a within DRIFT of (its own place + shift); -1 without."""
-    n = len(a.sh)
-    out = np.full(len(b.sh), -1, np.int64)
-    first = np.searchsorted(a.value, b.sh)
-    some = np.flatnonzero(a.value[np.minimum(first, n - 1)] == b.sh)
-    # among equal shingles places ascend: the value's rank, then the place
-    rank = np.cumsum(np.concatenate([[0], a.value[1:] != a.value[:-1]]))
-    key = rank * (2 * n + 2) + a.place
-    want = np.clip(some + shift, 0, 2 * n)
+
+    @cached_property
+    def order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles in order, their places, key of value and place): among equal ones places ascend."""
+        place = np.argsort(self.sh, kind="stable")
+        value = self.sh[place]
+        rank = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]]))
+        return value, place, rank
+
+    @cached_property
+    def index(self) -> dict[tuple[int, int], list[int]]:
+        out: dict[tuple[int, int], list[int]] = {}
+        k, _, c, _ = all_windows(self.sh, self.span)
+        for s, x in zip(zip(k.tolist(), self.sh[c].tolist()), c.tolist()):
+            out.setdefault(s, []).append(x)
+        return out
+
+
+def aligned(a: Text, b: np.ndarray, at: int, shift: int) -> np.ndarray:
+    """For each shingle of b, the first of which has place `at`, the place of an equal one of a within DRIFT of (its own place + shift); -1 without."""
+    value, place, rank = a.order
+    n = len(value)
+    out = np.full(len(b), -1, np.int64)
+    first = np.minimum(np.searchsorted(value, b), n - 1)
+    some = np.flatnonzero(value[first] == b)
+    key = rank * (2 * n + 2) + place
+    aim = some + at + shift
     own = rank[first[some]]
-    pos = np.searchsorted(key, own * (2 * n + 2) + want)
+    pos = np.searchsorted(key, own * (2 * n + 2) + np.clip(aim, 0, 2 * n))
     for cand in (pos, pos - 1):
         c = np.clip(cand, 0, n - 1)
-        ok = (rank[c] == own) & (np.abs(a.place[c] - (some + shift)) <= DRIFT)
-        better = ok & ((out[some] < 0) | (np.abs(a.place[c] - some - shift) < np.abs(out[some] - some - shift)))
-        out[some[better]] = a.place[c[better]]
+        off = np.abs(place[c] - aim)
+        better = (rank[c] == own) & (off <= DRIFT) & ((out[some] < 0) | (off < np.abs(out[some] - aim)))
+        out[some[better]] = place[c[better]]
+    return out
+
+
+def dense(hit: np.ndarray, span: int, ratio: float) -> list[tuple[int, int]]:
+    """Intervals of at least `span`, from hit to hit, in which at least `ratio` of all are hits: the longest, then those left and right of it."""
+    out, todo = [], [(0, len(hit))]
+    while todo:
+        at, end = todo.pop()
+        places = np.flatnonzero(hit[at:end])
+        if len(places) < ratio * span or places[-1] - places[0] + 1 < span:
+            continue
+        # a tail reaches back to the first head whose total is no larger: totals before heads fall as a running minimum
+        total = places * ratio - np.arange(len(places))  # misses so far, less what is allowed
+        before = np.maximum.accumulate(total)
+        pick = np.searchsorted(before, total + ratio - 1 - 1e-9, "left")
+        size = np.where(pick < len(places), places - places[np.minimum(pick, len(places) - 1)] + 1, 0)
+        best = int(size.argmax())
+        if size[best] < span:
+            continue
+        x, y = at + int(places[pick[best]]), at + int(places[best])
+        out.append((x, y))
+        todo += [(at, x), (y + 1, end)]
     return out
 
 
-def grow(hit: np.ndarray, at: int, ratio: float) -> tuple[int, int] | None:
-    """The longest stretch around `at`, between hits, without a gap above GAP, in which at least `ratio` of all are hits."""
+def _stretches(hit: np.ndarray, span: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, whether it can hold a passage) of each run of hits without a gap above GAP."""
     places = np.flatnonzero(hit)
     if not len(places):
-        return None
+        return places, places, np.zeros(0, bool)
     cuts = np.flatnonzero(np.diff(places) > GAP + 1)
-    block = np.searchsorted(places[cuts + 1] if len(cuts) else np.zeros(0, np.int64), at, "right")
-    edges = np.concatenate([[0], cuts + 1, [len(places)]])
-    lo, hi = int(places[edges[block]]), int(places[edges[block + 1] - 1])
-    if not lo <= at <= hi:
-        return None
-    score = np.where(hit[lo : hi + 1], 1.0 - ratio, -ratio)
-    total = np.concatenate([[0.0], np.cumsum(score)]) + 1e-9
-    heads = np.flatnonzero(hit[lo : at + 1])
-    tails = np.flatnonzero(hit[at : hi + 1]) + at - lo + 1
-    if not len(heads) or not len(tails):
-        return None
-    low = np.minimum.accumulate(total[heads])  # falls: the first head at or below a tail's total
-    pick = np.searchsorted(-low, -(total[tails] + 1e-9), "left")
-    ok = pick < len(heads)
-    if not ok.any():
-        return None
-    size = np.where(ok, tails - heads[np.minimum(pick, len(heads) - 1)], -1)
-    best = int(size.argmax())
-    return lo + int(heads[pick[best]]), lo + int(tails[best]) - 1
+    first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(places) - 1]])
+    return places[first], places[last], (places[last] - places[first] + 1 >= span) & (last - first + 1 >= ratio * span)
 
 
 def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int, float]]:
     """Passages of b that repeat ones of a, by shingles: (b first, b last, a first, a last, similarity)."""
-    if not len(a.sh) or not len(b.sh):
+    n, span = len(b.sh), b.span
+    if not len(a.sh) or n < span:
         return []
-    index = a.index()
-    seeds = sorted((n[1], n[1] - m[1], s[0], n, m) for s, n in b.nodes() for m in index.get(s, ()))
     ratio = 2 * similar / (1 + similar)
+    # wherever they are in a: a passage has no fewer hits than this in some window
+    value = a.order[0]
+    hit = value[np.minimum(np.searchsorted(value, b.sh), len(value) - 1)] == b.sh
+    total = np.concatenate([[0], np.cumsum(hit)])
+    least = span - int((1 - ratio) * 2 * span)
+    if (total[span:] - total[:-span]).max() < least:
+        return []
+    lo, hi, room = _stretches(hit, span, ratio)
+    k, left, c, right = all_windows(b.sh, span)
+    keep = hit[c]
+    block = np.searchsorted(lo, c, "right") - 1
+    keep &= room[np.maximum(block, 0)]
+    index = a.index
+    some = [i for i in np.flatnonzero(keep).tolist() if (int(k[i]), int(b.sh[c[i]])) in index]
+    if not some:
+        return []
+    # the join of the functions' intervals: how many of them share a window around each place
+    cover = np.zeros((HASHES, n + 1), np.int64)
+    np.add.at(cover, (k[some], left[some]), 1)
+    np.add.at(cover, (k[some], right[some] + 1), -1)
+    agree = (np.cumsum(cover, axis=1) > 0).sum(axis=0)
     found: list[tuple[int, int, int, int, float]] = []
-    lines: dict[int, np.ndarray] = {}
-    for c, shift, _, n, _m in seeds:
-        if any(x <= c <= y for x, y, *_ in found):
-            continue
-        # functions that agree here: their intervals hold this place, on the same diagonal
-        agree = {k for c2, s2, k, n2, _ in seeds if n2[0] <= c <= n2[2] and abs(s2 - shift) <= DRIFT} if ENOUGH > 1 else {0}
-        if len(agree) < ENOUGH:
-            continue
-        line = next((s for s in lines if abs(s - shift) <= DRIFT // 8), None)
-        if line is None:
-            lines[line := shift] = aligned(a, b, -shift)
-        place = lines[line]
-        got = grow(place >= 0, c, ratio)
-        if not got or got[1] - got[0] + 1 < b.span:
+    done, tried = np.zeros(n, bool), set()
+    for i in some:
+        at = int(c[i])
+        if done[at] or agree[at] < ENOUGH:
             continue
-        x, y = got
-        p = place[x : y + 1]
-        p = p[p >= 0]
-        u, v = int(p.min()), int(p.max())
-        sa, sb = np.unique(a.sh[u : v + 1]), np.unique(b.sh[x : y + 1])
-        common = len(np.intersect1d(sa, sb, assume_unique=True))
-        jaccard = common / (len(sa) + len(sb) - common)
-        if jaccard >= similar and v - u + 1 >= b.span * similar:
-            found.append((x, y, u, v, jaccard))
+        x0, x1 = int(lo[block[i]]), int(hi[block[i]])
+        for m in index[int(k[i]), int(b.sh[at])]:
+            # an alignment tolerates drift, so that near shifts of one stretch share it; it is searched once, for all seeds on it
+            key = (x0, (at - m) // (DRIFT // 4))
+            if key in tried:
+                continue
+            tried.add(key)
+            place = aligned(a, b.sh[x0 : x1 + 1], x0, m - at)
+            for first, last, wide in zip(*_stretches(place >= 0, span, ratio)):
+                if not wide:
+                    continue
+                for x, y in dense(place[first : last + 1] >= 0, span, ratio):
+                    x, y = int(first) + x, int(first) + y
+                    if done[x0 + x : x0 + y + 1].all():
+                        continue
+                    p = place[x : y + 1]
+                    p = p[p >= 0]
+                    u, v = int(p.min()), int(p.max())
+                    sa, sb = np.unique(a.sh[u : v + 1]), np.unique(b.sh[x0 + x : x0 + y + 1])
+                    common = len(np.intersect1d(sa, sb, assume_unique=True))
+                    jaccard = common / (len(sa) + len(sb) - common)
+                    if jaccard >= similar and v - u + 1 >= span * similar:
+                        found.append((x0 + x, x0 + y, u, v, jaccard))
+                        done[x0 + x : x0 + y + 1] = True
+            if done[at]:
+                break
     return found
 
 
@@ -225,14 +302,16 @@ FOUND = "id long, start long, stop long, source long, source_start long, source_
 
 def _compare(span: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        recent: OrderedDict = OrderedDict()  # sources met before: a passage of many documents has one source
         for batch in batches:
             rows = []
             for i, s, x, y in zip(*(batch.column(c) for c in ("id", "source", "x", "y"))):
-                s = s.as_py()
-                if last[0] != (s, len(y.as_buffer())):
-                    last = ((s, len(y.as_buffer())), Text(y.as_py(), span))
-                for p, q, u, v, j in passages(last[1], Text(x.as_py(), span), similar):
+                s, raw = s.as_py(), y.as_py()
+                t = recent.pop((s, raw), None) or Text(raw, span)
+                recent[s, raw] = t
+                if len(recent) > 64:
+                    recent.popitem(last=False)
+                for p, q, u, v, j in passages(t, Text(x.as_py(), span), similar):
                     rows.append((i.as_py(), p, q + SHINGLE, s, u, v + SHINGLE, j))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             names = ["id", "start", "stop", "source", "source_start", "source_stop", "similarity"]
@@ -252,11 +331,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, rows: DataFrame, span: int, similar: float) -> DataFrame:
     """The passages of the pairs (id, source)."""
-    ids = pairs.select("id").unionByName(pairs.select(F.col("source").alias("id"))).distinct()
-    word = store(rows.join(ids, "id", "left_semi").mapInArrow(_words, "id long, w binary"), "passage-words")
-    both = pairs.select("id", "source").join(word.withColumnRenamed("w", "x"), "id").join(word.select(F.col("id").alias("source"), F.col("w").alias("y")), "source")
+    ids = store(pairs.select("id").unionByName(pairs.select(F.col("source").alias("id"))).distinct(), "passage-ids")
+    word = store(only(rows, ids).mapInArrow(_words, "id long, w binary"), "passage-words")
+    # by source first: the comparison then runs where the ids are, and a source of many documents is no hot task
+    both = pairs.select("id", "source").join(word.select(F.col("id").alias("source"), F.col("w").alias("y")), "source").join(word.withColumnRenamed("w", "x"), "id")
     out = store(both.select("id", "source", "x", "y").mapInArrow(_compare(span, similar), FOUND).distinct(), "passages")
-    discard(word)
+    discard(word, ids)
     return out
 
 
@@ -275,13 +355,16 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     keys = store(rows.mapInArrow(_signature_rows(span, False), "key long, id long"), "signatures")
     pairs = store(_stars(keys).groupBy("id", "source").agg(F.count("*").alias("n")), "passage-pairs")
     discard(keys)
-    found = _confirm(pairs, rows, span, similar)
+    close = pairs.where(F.col("n") >= ENOUGH)
+    found = _confirm(close, rows, span, similar)
     # documents of pairs without a passage look again, by signature and context
-    open_pairs = pairs.join(found.select("id", "source").distinct(), ["id", "source"], "left_anti")
-    ids = open_pairs.select("id").distinct()
-    again = rows.join(ids, "id", "left_semi").mapInArrow(_signature_rows(span, True), "key long, id long")
-    second = _stars(store(again, "context-signatures")).select("id", "source").distinct().join(pairs.select("id", "source"), ["id", "source"], "left_anti")
+    open_pairs = close.join(found.select("id", "source").distinct(), ["id", "source"], "left_anti")
+    ids = store(open_pairs.select("id").distinct(), "open-ids")
+    again = only(rows, ids).mapInArrow(_signature_rows(span, True), "key long, id long")
+    again = store(again, "context-signatures")
+    second = _stars(again).select("id", "source").distinct().join(pairs.select("id", "source"), ["id", "source"], "left_anti")
     second = store(second, "context-pairs")
+    discard(again, ids)
     if not second.isEmpty():
         found = found.unionByName(_confirm(second, rows, span, similar))
     return found.withColumnRenamed("id", key)

@@ -14,9 +14,7 @@ def test_windows_are_the_tree_nodes_of_enough_span():
     for n in (1, 5, 30, 200):
         sh = rng.integers(0, 1 << 62, n).astype(np.uint64)
         for k in range(2):
-            bits = max(1, (n - 1).bit_length())
-            low = (1 << bits) - 1
-            v = [(int(x) & ~low) | i for i, x in enumerate(P.mix(sh * P._FUNCTION[k]))]
+            v = [int(x) for x in P.values(sh, np.zeros(n), k)[0]]
             want = []
             for c in range(n):
                 left = c
@@ -28,6 +26,8 @@ def test_windows_are_the_tree_nodes_of_enough_span():
                 if right - left + 1 >= 6:
                     want.append((left, c, right))
             assert sorted(P.windows(sh, 6, k), key=lambda x: x[1]) == want
+            f, left, c, right = P.all_windows(sh, 6)
+            assert [(x, y, z) for g, x, y, z in zip(f, left, c, right) if g == k] == want
 
 
 def test_repeats_are_found_and_clean_texts_left_alone(spark):
