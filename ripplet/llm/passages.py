@@ -7,14 +7,14 @@ share subsequences with equal min-hash.
 
 1. Every text's signatures, by sliding minima (a node spans enough words exactly if it is a minimum of some window).
 2. Documents that share a signature meet at the smallest of their ids: a star for each signature, never all pairs.
-3. For each pair with at least ENOUGH signatures in common the windows of both are joined again by signature; a seed
-   grows to the longest stretch whose shingles agree in the given proportion, along one diagonal with some drift, and
-   the Jaccard similarity of both passages' full shingle sets has the last word.
-4. Where such a pair has no passage in common, its document looks again: signatures joined with a hash of the
+3. For each pair the windows of both are joined again by signature; a seed grows to the longest stretch whose shingles
+   agree in the given proportion, along one diagonal with some drift, and the Jaccard similarity of both passages' full
+   shingle sets has the last word.
+4. Where a pair has no passage in common, its document looks again: signatures joined with a hash of the
    words before or after them find the smallest id that shares these too.
 
 A passage that is repeated exactly, with `least` words or more, shares a signature of every function, whatever
-surrounds it; one at the lowest similarity and length shares two of four with a chance of 0.97, longer ones have more
+surrounds it; one at the lowest similarity and length shares none of four with a chance of 0.0016, longer ones have more
 windows. Every step is linear in signatures; nothing is capped.
 
 Defined cases: null, empty and short texts repeat nothing; null ids are left out; of repeated ids every row counts, but a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ripplet.llm.cluster import discard, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
-HASHES, ENOUGH, SHINGLE, LEAST, SIMILAR = 4, 2, 5, 50, 0.8
+HASHES, SHINGLE, LEAST, SIMILAR = 4, 5, 50, 0.8
 #: Shingles by which the two passages of a pair may drift apart; unmatched shingles in a row that end a passage; words around a signature.
 DRIFT, GAP, CONTEXT = 64, 24, 22
 _rng = np.random.Generator(np.random.PCG64(909))
@@ -249,7 +249,7 @@ def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int,
     if (total[span:] - total[:-span]).max() < least:
         return []
     lo, hi, room = _stretches(hit, span, ratio)
-    k, left, c, right = all_windows(b.sh, span)
+    k, _, c, _ = all_windows(b.sh, span)
     keep = hit[c]
     block = np.searchsorted(lo, c, "right") - 1
     keep &= room[np.maximum(block, 0)]
@@ -257,16 +257,11 @@ def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int,
     some = [i for i in np.flatnonzero(keep).tolist() if (int(k[i]), int(b.sh[c[i]])) in index]
     if not some:
         return []
-    # the join of the functions' intervals: how many of them share a window around each place
-    cover = np.zeros((HASHES, n + 1), np.int64)
-    np.add.at(cover, (k[some], left[some]), 1)
-    np.add.at(cover, (k[some], right[some] + 1), -1)
-    agree = (np.cumsum(cover, axis=1) > 0).sum(axis=0)
     found: list[tuple[int, int, int, int, float]] = []
     done, tried = np.zeros(n, bool), set()
     for i in some:
         at = int(c[i])
-        if done[at] or agree[at] < ENOUGH:
+        if done[at]:
             continue
         x0, x1 = int(lo[block[i]]), int(hi[block[i]])
         for m in index[int(k[i]), int(b.sh[at])]:
@@ -353,16 +348,15 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     span = max(1, least - SHINGLE + 1)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     keys = store(rows.mapInArrow(_signature_rows(span, False), "key long, id long"), "signatures")
-    pairs = store(_stars(keys).groupBy("id", "source").agg(F.count("*").alias("n")), "passage-pairs")
+    pairs = store(_stars(keys).select("id", "source").distinct(), "passage-pairs")
     discard(keys)
-    close = pairs.where(F.col("n") >= ENOUGH)
-    found = _confirm(close, rows, span, similar)
+    found = _confirm(pairs, rows, span, similar)
     # documents of pairs without a passage look again, by signature and context
-    open_pairs = close.join(found.select("id", "source").distinct(), ["id", "source"], "left_anti")
+    open_pairs = pairs.join(found.select("id", "source").distinct(), ["id", "source"], "left_anti")
     ids = store(open_pairs.select("id").distinct(), "open-ids")
     again = only(rows, ids).mapInArrow(_signature_rows(span, True), "key long, id long")
     again = store(again, "context-signatures")
-    second = _stars(again).select("id", "source").distinct().join(pairs.select("id", "source"), ["id", "source"], "left_anti")
+    second = _stars(again).select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
     second = store(second, "context-pairs")
     discard(again, ids)
     if not second.isEmpty():

@@ -78,3 +78,24 @@ def test_empty(spark):
 
 def test_cut():
     assert P.cut("a b  c\nd", [(1, 3)]) == "a \nd" and P.cut("a b", [(0, 2), (0, 1)]) == "" and P.cut("é b c", [(2, 3), (0, 1)]) == " b "
+
+
+def one(text):
+    return P.pa.RecordBatch.from_arrays([P.pa.array([1]), P.pa.array([text])], ["id", "text"])
+
+
+def signatures(text):
+    return set(next(P._signature_rows(46, False)(iter([one(text)]))).column("key").to_pylist())
+
+
+def links(spark, texts):
+    return {(r.doc_id, r.source) for r in P.repeated_passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+
+
+def test_a_pair_with_one_common_signature_is_compared(spark):
+    rng = random.Random(26)
+    passage = prose(rng, 50).split()
+    near = " ".join([*passage[:24], "changed", *passage[25:]])
+    texts = {0: prose(rng, 60) + " " + " ".join(passage) + " " + prose(rng, 60), 1: near}
+    assert len(signatures(texts[0]) & signatures(near)) == 1
+    assert links(spark, texts) == {(1, 0)}
