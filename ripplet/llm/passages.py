@@ -11,7 +11,7 @@ share subsequences with equal min-hash.
    agree in the given proportion, along one diagonal with some drift, and the Jaccard similarity of both passages' full
    shingle sets has the last word.
 4. Where a pair has no passage in common, its document looks again: signatures joined with a hash of the
-   words before or after them find the smallest id that shares these too.
+   words before or after them find the smallest id, of all documents, that shares these too.
 
 A passage that is repeated exactly, with `least` words or more, shares a signature of every function, whatever
 surrounds it; one at the lowest similarity and length shares none of four with a chance of 0.0016, longer ones have more
@@ -356,7 +356,10 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     ids = store(open_pairs.select("id").distinct(), "open-ids")
     again = only(rows, ids).mapInArrow(_signature_rows(span, True), "key long, id long")
     again = store(again, "context-signatures")
-    second = _stars(again).select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
+    # the source may be any document, also one that found its own passages
+    everyone = rows.mapInArrow(_signature_rows(span, True), "key long, id long")
+    first = everyone.join(again.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("source"))
+    second = again.join(first, "key").where("id > source").select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
     second = store(second, "context-pairs")
     discard(again, ids)
     if not second.isEmpty():

@@ -99,3 +99,15 @@ def test_a_pair_with_one_common_signature_is_compared(spark):
     texts = {0: prose(rng, 60) + " " + " ".join(passage) + " " + prose(rng, 60), 1: near}
     assert len(signatures(texts[0]) & signatures(near)) == 1
     assert links(spark, texts) == {(1, 0)}
+
+
+def test_the_second_look_finds_a_source_that_is_not_open(spark):
+    rng = random.Random(1)
+    a = prose(rng, 120).split()
+    b = [*a[:24], "another", *a[25:72], "other", *a[73:]]
+    c = [*b[:48], "changed", *b[49:96], "different", *b[97:]]
+    texts = {i: " ".join(w) for i, w in enumerate((a, b, c))}
+    s = [signatures(texts[i]) for i in range(3)]
+    # all that c shares with b, a has too
+    assert s[1] & s[2] <= s[0]
+    assert links(spark, texts) == {(1, 0), (2, 1)}
