@@ -111,3 +111,14 @@ def test_the_second_look_finds_a_source_that_is_not_open(spark):
     # all that c shares with b, a has too
     assert s[1] & s[2] <= s[0]
     assert links(spark, texts) == {(1, 0), (2, 1)}
+
+
+def test_an_exact_repeat_is_found_whose_signatures_lead_elsewhere(spark):
+    rng = random.Random(23)
+    passage = prose(rng, 50).split()
+    at = sorted(P.all_windows(P.Text(next(P._words(iter([one(" ".join(passage))]))).column("w")[0].as_py(), 46).sh, 46)[2].tolist())
+    parts = [prose(rng, 25) + " " + " ".join(passage[c : c + 5]) + " " + prose(rng, 25) for c in at[:3]]
+    texts = {0: " ".join(parts), 1: prose(rng, 60) + " " + " ".join(passage) + " " + prose(rng, 60), 2: " ".join(passage)}
+    s = [signatures(texts[i]) for i in range(3)]
+    assert len(s[0] & s[2]) == 3 and len(s[2] - s[0]) == 1 and s[2] <= s[1]
+    assert links(spark, texts) == {(2, 1)}
