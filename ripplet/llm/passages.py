@@ -9,7 +9,7 @@ share subsequences with equal min-hash.
 2. Documents that share a signature meet at the smallest of their ids: a star for each signature, never all pairs.
 3. For each pair the windows of both are joined again by signature; a seed grows to the longest stretch whose shingles
    agree in the given proportion, along one diagonal with some drift, and the Jaccard similarity of both passages' full
-   shingle sets has the last word.
+   shingle sets has the last word; a stretch that fails is parted where it jumps, and its parts are judged.
 4. Where a pair has no passage in common, its document looks again: signatures joined with a hash of the
    words before or after them find the smallest id, of all documents, that shares these too.
 
@@ -235,6 +235,17 @@ def _stretches(hit: np.ndarray, span: int, ratio: float) -> tuple[np.ndarray, np
     return places[first], places[last], (places[last] - places[first] + 1 >= span) & (last - first + 1 >= ratio * span)
 
 
+def parted(place: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
+    """The two parts of x..y on either side of its widest jump, by misses and change of diagonal; of equal ones, the middlemost."""
+    own = x + np.flatnonzero(place[x : y + 1] >= 0)
+    wide = np.diff(own) - 1 + np.abs(np.diff(place[own] - own))
+    if not wide.any():
+        return []
+    best = np.flatnonzero(wide == wide.max())
+    k = int(best[np.abs(own[best] - (x + y) / 2).argmin()])
+    return [(x, int(own[k])), (int(own[k + 1]), y)]
+
+
 def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int, float]]:
     """Passages of b that repeat ones of a, by shingles: (b first, b last, a first, a last, similarity)."""
     n, span = len(b.sh), b.span
@@ -271,11 +282,11 @@ def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int,
                 continue
             tried.add(key)
             place = aligned(a, b.sh[x0 : x1 + 1], x0, m - at)
-            for first, last, wide in zip(*_stretches(place >= 0, span, ratio)):
-                if not wide:
-                    continue
+            todo = [(int(f), int(g)) for f, g, wide in zip(*_stretches(place >= 0, span, ratio)) if wide]
+            while todo:
+                first, last = todo.pop()
                 for x, y in dense(place[first : last + 1] >= 0, span, ratio):
-                    x, y = int(first) + x, int(first) + y
+                    x, y = first + x, first + y
                     if done[x0 + x : x0 + y + 1].all():
                         continue
                     p = place[x : y + 1]
@@ -287,6 +298,8 @@ def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int,
                     if jaccard >= similar and v - u + 1 >= span * similar:
                         found.append((x0 + x, x0 + y, u, v, jaccard))
                         done[x0 + x : x0 + y + 1] = True
+                    else:
+                        todo += parted(place, x, y)
             if done[at]:
                 break
     return found

@@ -122,3 +122,18 @@ def test_an_exact_repeat_is_found_whose_signatures_lead_elsewhere(spark):
     s = [signatures(texts[i]) for i in range(3)]
     assert len(s[0] & s[2]) == 3 and len(s[2] - s[0]) == 1 and s[2] <= s[1]
     assert links(spark, texts) == {(2, 1)}
+
+
+def test_a_stretch_that_fails_is_judged_in_parts():
+    def text(w):
+        return P.Text(next(P._words(iter([one(" ".join(w))]))).column("w")[0].as_py(), 46)
+
+    rng = random.Random(5)
+    x, y, line = prose(rng, 60).split(), prose(rng, 60).split(), prose(rng, 12).split()
+    # an insertion in the source
+    got = P.passages(text([*x, *prose(rng, 30).split(), *y]), text([*x, *y]), 0.8)
+    assert sorted((p, q) for p, q, *_ in got) == [(0, 55), (60, 115)]
+    # a copy, and a line that both have at another distance
+    copy = prose(rng, 200).split()
+    got = P.passages(text([*copy, *prose(rng, 75).split(), *line]), text([*copy, *prose(rng, 15).split(), *line]), 0.8)
+    assert [(p, q, u, v) for p, q, u, v, _ in got] == [(0, 195, 0, 195)]
