@@ -26,8 +26,8 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = minhash.near_duplicates(docs)
+    """One document of each group of near duplicates, with a similarity of 0.8 or more: the one with the smallest id."""
+    groups = minhash.near_duplicates(docs, percent=80)
     gone = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

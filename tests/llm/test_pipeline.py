@@ -79,3 +79,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_documents_with_a_similarity_of_four_fifths_are_near_duplicates(spark):
+    words = [f"w{i}" for i in range(104)]
+    # one change in the middle of 100 shingles costs each side five: 95 of 105; two cost ten: 90 of 110
+    near = [*words[:30], "other", *words[31:70], "another", *words[71:]]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    common, total = len(grams(words) & grams(near)), len(grams(words) | grams(near))
+    assert 80 * total <= 100 * common < 85 * total
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, None).collect()} == {1, 3}
