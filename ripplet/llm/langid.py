@@ -5,7 +5,7 @@ A text becomes its letters, lower-cased, with every run of other characters as o
 Embedding and softmax are trained together by stochastic gradient descent in numpy on pieces of labelled texts. Then
 a temperature and a rejection threshold are fitted on documents that training held back: `score` is the calibrated
 probability of the predicted language, and a document is rejected if its score is below what all but REJECT of the
-held-back documents reach. For prediction embedding and softmax are multiplied to one table, so that a subword costs
+held-back documents and of pieces of them reach. For prediction embedding and softmax are multiplied to one table, so that a subword costs
 one row of it, and all of a text counts, however long.
 
 Training draws on at most TRAIN_ROWS labelled rows, chosen by hash, and SAMPLE_CHARS characters of each; see `learn`.
@@ -29,6 +29,8 @@ from ripplet.llm.cluster import ship
 from ripplet.llm.lexing import slices
 
 TRAIN_ROWS, SAMPLE_CHARS, PIECE, BUCKETS, DIM, EPOCHS, RATE, REJECT = 4000, 8000, 400, 1 << 16, 16, 3, 0.5, 0.001
+#: Lengths of the held-back pieces by which rejection is calibrated beside whole texts.
+SHORT = (20, 50, 100, 200, 400)
 ORDERS = (1, 2, 3, 4)
 _fold: np.ndarray | None = None
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -176,8 +178,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             model.temperature = float(min(np.geomspace(1, 10, 40), key=loss))
             p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
             top = (p / p.sum(axis=1, keepdims=True)).max(axis=1)
-            # between the score of pure chance and what the held-back rows reach
-            model.least = float(min(np.quantile(top, REJECT), 1.5 / len(languages)))
+            # short texts score lower: pieces of every length count beside the whole texts
+            cut = [texts[i][at : at + size] for i in held for size in SHORT for at in [int(rng.integers(0, max(1, len(texts[i]) - size + 1)))]]
+            z, has = model.logits(cut)
+            z = z[has > 0]
+            p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
+            top = np.concatenate([top, (p / p.sum(axis=1, keepdims=True)).max(axis=1)])
+            model.least = float(np.quantile(top, REJECT))
     return model
 
 

@@ -43,3 +43,13 @@ def test_without_labels(spark):
     model = langid.learn(df, "text", "lang")
     assert [tuple(r) for r in langid.identify(df, "text", model, [F.col("doc_id")]).collect()] == [(1, "und", 0.0, True)]
     assert langid.identify(df.limit(0), "text", model, [F.col("doc_id")]).count() == 0
+
+
+def test_languages_that_were_not_learned_are_rejected():
+    rng = random.Random(2)
+    model = langid.fit([prose(rng, lang) for lang in ["aa", "bb", "cc"] * 100], ["aa", "bb", "cc"] * 100)
+    foreign = [" ".join("".join(rng.choice(["qwx", "yj", "vwz", "oof"]) for _ in range(rng.randint(1, 3))) for _ in range(60)) for _ in range(20)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(20)]
+    _, score, rejected = model.predict(foreign + junk)
+    assert score.max() > 0.5 and rejected.all()
+    assert model.predict([prose(rng, lang, 8) for lang in ["aa", "bb", "cc"] * 50])[2].sum() <= 3
