@@ -71,3 +71,14 @@ def test_root_licence_and_empty_table(spark):
     df = spark.createDataFrame([(1, "LICENSE", "Released under the MIT License."), (2, "x/y/z", "t"), (3, None, "t")], "doc_id long, path string, text string")
     assert sorted((r.doc_id, r.license, r.license_dir) for r in L.scan_licences(df, "doc_id", "path", "text").collect()) == sorted([(1, "MIT", None), (2, "MIT", ""), (3, "MIT", "")])
     assert L.scan_licences(df.limit(0), "doc_id", "path", "text").count() == 0
+
+
+def test_headers_and_full_texts_tell_neighbouring_licences_apart(spark):
+    header = "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version. */\nint main"
+    one = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"
+    files = [("GPL-2.0", "a.c", header.format("", "2")), ("GPL-2.0", "b.c", one), ("GPL-3.0", "c.c", header.format("", "3")), ("LGPL-2.1", "d.c", header.format("Lesser ", "2.1")), ("AGPL-3.0", "e.c", header.format("Affero ", "3"))]
+    files += [(name, f"{k}/LICENSE", "Copyright (c) 2020 Jane Doe\n\n" + text) for k, (name, text) in enumerate(L.TEMPLATES) if text.count("\n") > 5]
+    assert {"ISC", "BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1", "MIT"} <= {name for name, _, _ in files}
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "doc_id long, want string, path string, text string")
+    got = {r.doc_id: r.license for r in L.scan_licences(df, "doc_id", "path", "text").collect()}
+    assert [got[i] for i in range(len(files))] == [f[0] for f in files]
