@@ -15,13 +15,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. The default of 10,000 would hold 10,000 long texts at once.
-BATCH_ROWS = 1000
+#: What an Arrow batch may hold, where the session doesn't say: its default of 10,000 rows would hold 10,000 long texts at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the Python workers' path, once a session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Put this package on the Python workers' path, once a session, and bound Arrow batches that the session left at their defaults."""
+    for name, (default, ours) in BATCH.items():
+        if (spark.conf.get(name, None) or default).removesuffix("b") == default:
+            spark.conf.set(name, ours)
     sc = spark.sparkContext
     if getattr(sc, "_ripplet_shipped", False):
         return

@@ -37,18 +37,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Bytes whose hashes are summed at once: what is kept by a worker between batches are two tables of so many powers.
+PIECE = 1 << 17
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least `n` of each."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        out = []
-        for m in (_MULTIPLIER, _INVERSE):
-            a = np.full(size, m, np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+    """Powers of the multiplier and of its inverse modulo 2**64, at least `n` of each. Tables beyond PIECE are not kept."""
+    size = max(PIECE, n)
+    if size in _powers:
+        return _powers[size]
+    out = []
+    for m in (_MULTIPLIER, _INVERSE):
+        a = np.full(size, m, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    if size == PIECE:
         _powers[size] = tuple(out)
-    return _powers[size]
+    return tuple(out)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +66,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes of text (a longer text makes a part of its own), so memory is bounded."""
     if not batch.num_rows:
         return
@@ -96,10 +101,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word with A-Z lower-cased: a mixed polynomial over random byte values modulo 2**64."""
-        power, inverse = powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(BYTE_HASH[self.buf] * power[: len(self.buf)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):
+            base = int(self.start[at])
+            stop = max(at + 1, int(np.searchsorted(self.end, base + PIECE - 1, "right")))  # whole words; a longer one has a piece of its own
+            x, y = self.start[at:stop] - base, self.end[at:stop] - base
+            n = int(y[-1])
+            power, inverse = powers(n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(BYTE_HASH[self.buf[base : base + n]] * power[:n], out=total[1:])
+            out[at:stop] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+            at = stop
+        return out
 
 
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)

@@ -5,17 +5,20 @@ nodes of the Cartesian tree over its shingles' hashes that span at least `least`
 subsequences within l..r that hold c, whose min-hash is c's; texts that share a signature (function, shingle at c) so
 share subsequences with equal min-hash.
 
-1. Every text's signatures, by sliding minima (a node spans enough words exactly if it is a minimum of some window).
-2. Documents that share a signature meet at the smallest of their ids: a star for each signature, never all pairs.
+1. Every text's windows of BANDS pairs of functions, by sliding minima (a node spans enough words exactly if it is a minimum of
+   some subsequence of `least` words). Where a window of one function and one of the other of its pair meet in `least` words or
+   more, both values are a key: the interval join of a text's own windows.
+2. Documents that share a key meet at the smallest of their ids: a star for each key, never all pairs.
 3. For each pair the windows of both are joined again by signature; a seed grows to the longest stretch whose shingles
    agree in the given proportion, along one diagonal with some drift, and the Jaccard similarity of both passages' full
    shingle sets has the last word; a stretch that fails is parted where it jumps, and its parts are judged.
-4. Where a pair has no passage in common, its document looks again: signatures joined with a hash of the
-   words before or after them find the smallest id, of all documents, that shares these too.
+4. The smallest id of a key may lack the passage that others of the key share. A document none of whose passages holds
+   the key's minima looks again, at the smallest id among those that are left like it; and wherever `least` words in a row
+   have all their keys in common with others but lie in no passage yet, the documents with the very same words meet.
 
-A passage that is repeated exactly, with `least` words or more, shares a signature of every function, whatever
-surrounds it; one at the lowest similarity and length shares none of four with a chance of 0.0016, longer ones have more
-windows. Every step is linear in signatures; nothing is capped.
+A passage that is repeated exactly, with `least` words or more, shares all keys of its words, whatever surrounds it, and so
+is found in 2 or 4 for certain. One at the lowest similarity and length shares no key with a chance of (1 - 0.8**2)**BANDS =
+0.017; longer ones have more windows. Every step is linear in keys; nothing is capped.
 
 Defined cases: null, empty and short texts repeat nothing; null ids are left out; of repeated ids every row counts, but a
 document never matches itself; empty tables give empty tables. Further columns are ignored.
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import discard, only, ship, store
+from ripplet.llm.cluster import BROADCAST_IDS, discard, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 HASHES, SHINGLE, LEAST, SIMILAR = 4, 5, 50, 0.8
-#: Shingles by which the two passages of a pair may drift apart; unmatched shingles in a row that end a passage; words around a signature.
-DRIFT, GAP, CONTEXT = 64, 24, 22
+#: Pairs of functions by whose common minima documents meet; records that are combined before they are shuffled, and documents of a key in these from which on they are.
+BANDS, COMBINED, HOT = 4, 500_000, 64
+#: Shingles by which the two passages of a pair may drift apart; unmatched shingles in a row that end a passage.
+DRIFT, GAP = 64, 24
 _rng = np.random.Generator(np.random.PCG64(909))
 _FUNCTION = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _LOW = U(0xFFFFFFFF)
@@ -91,39 +96,156 @@ def windows(sh: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
     return list(zip(left, at.tolist(), right))
 
 
-def _signature_rows(span: int, context: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Runs:
+    """Of each band, the runs of windows of `span` shingles that have the same two minima: the places where a compact window of either function meet.
+
+    Of band b: key[b], row[b], first[b] (the first window), low[b] and high[b] (the places of the minima); ok: the windows within one row.
+    """
+
+    def __init__(self, sh: np.ndarray, row: np.ndarray, span: int):
+        n = len(sh)
+        self.count = max(0, n - span + 1)
+        self.ok = row[: self.count] == row[n - self.count :] if self.count else np.zeros(0, bool)
+        self.key, self.row, self.first, self.low, self.high = [], [], [], [], []
+        for band in range(BANDS if self.ok.any() else 0):
+            m = []
+            for k in (2 * band, 2 * band + 1):
+                v, low = values(sh, row, k)
+                width = 1
+                while width * 2 <= span:
+                    v = np.minimum(v[: len(v) - width], v[width:])
+                    width *= 2
+                m.append(np.minimum(v[: self.count], v[span - width : span - width + self.count]) if width < span else v)
+            new = np.ones(self.count, bool)
+            new[1:] = (m[0][1:] != m[0][:-1]) | (m[1][1:] != m[1][:-1]) | ~self.ok[:-1]
+            at = np.flatnonzero(new & self.ok)
+            x, y = ((v[at] & low).astype(np.int64) for v in m)
+            self.key.append(mix(mix(sh[x] + U(band + 1)) + sh[y] * _FUNCTION[63]).view(np.int64))
+            self.row.append(row[at])
+            self.first.append(at)
+            self.low.append(np.minimum(x, y))
+            self.high.append(np.maximum(x, y))
+
+    def windows(self, band: int, chosen: np.ndarray) -> np.ndarray:
+        """Which windows lie in a chosen run of the band."""
+        edge = np.zeros(self.count + 1, np.int8)
+        edge[self.first[band]] = 1
+        run = np.maximum(np.cumsum(edge[:-1], dtype=np.int64) - 1, 0)
+        return chosen[run] & self.ok if len(chosen) else np.zeros(self.count, bool)
+
+
+KEYS = "key long, id long, source long, local boolean"
+_KEYS = ["key", "id", "source", "local"]
+
+
+def _combined(key: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+    """One row for each key and id, without a source. Of a key with HOT ids or more the smallest has itself as source, and the others, that are local, have it."""
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+    key, ident = key[new], ident[new]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(key)))
+    hot = np.repeat(size >= HOT, size)
+    local = hot.copy()
+    local[first] = False
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(np.repeat(ident[first], size), mask=~hot), pa.array(local)], _KEYS)
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """`_combined` of (keys, ids) in portions of about COMBINED records."""
+    held, size = [], 0
+    for key, ident in parts:
+        held.append((key, ident))
+        size += len(key)
+        if size >= COMBINED:
+            yield _combined(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _combined(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _signatures(span: int):
+    def parts(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for b in slices(batch, "text"):
-                buf, off = texts(b.column("text"))
-                w = Words(buf, off, SPACE)
-                word = w.hashes() & _LOW
-                sh, starts = shingles(word, w.first, SHINGLE)
-                row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                rows, keys, exact = [], [], []
-                for k in range(HASHES):
-                    at = minima(sh, row, span, k)
-                    key = mix(sh[at] + U(k + 1))
-                    if context:
-                        # the words just before and just after the shingle, if the text has so many
-                        own = row[at]
-                        first = at - starts[own] + w.first[own]
-                        total = np.concatenate([[U(0)], np.cumsum(mix(sh))])
-                        size = CONTEXT - SHINGLE + 1
-                        sides = ((at - CONTEXT, at - starts[own] >= CONTEXT), (at + SHINGLE, first + SHINGLE + CONTEXT <= w.first[own + 1]))
-                        for side, (p, ok) in enumerate(sides):
-                            p = p[ok]
-                            rows.append(own[ok])
-                            keys.append(mix(key[ok] + mix(total[np.minimum(p + size, len(sh))] - total[p]) * U(2 * side + 3)))
-                            exact.append(key[ok])
-                    else:
-                        rows.append(row[at])
-                        keys.append(key)
-                pairs = np.unique(np.stack([np.concatenate(keys).view(np.int64), np.concatenate(rows), *([np.concatenate(exact).view(np.int64)] if context else [])]), axis=1)
-                ids = b.column("id").take(pa.array(pairs[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), ids], ["key", "id"])
+                w = Words(*texts(b.column("text")), SPACE)
+                sh, starts = shingles(w.hashes() & _LOW, w.first, SHINGLE)
+                runs = Runs(sh, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), span)
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                for key, row in zip(runs.key, runs.row):
+                    # a text's runs of one key need one record
+                    keep = np.unique(mix(key.view(np.uint64) + row.astype(np.uint64) * _FUNCTION[62]), return_index=True)[1]
+                    yield key[keep], ids[row[keep]]
+
+    return lambda batches: _merged(parts(batches))
+
+
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of key and id: each gets the smallest id of its key as source; a key of one document goes. Local rows pass."""
+    last: tuple[int, int] | None = None  # the key that the batches before ended in, and its smallest id
+    held: pa.RecordBatch | None = None  # its row, as long as no other has met it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ident = (batch.column(c).to_numpy() for c in ("key", "id"))
+        raw = batch.column("source")
+        source = raw.fill_null(-1).to_numpy()
+        alone = raw.is_null().to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(~batch.column("local").to_numpy(zero_copy_only=False))
+        passed = np.ones(len(key), bool)
+        passed[own] = False
+        if len(own):
+            k, i = key[own], ident[own]
+            head = np.ones(len(k), bool)
+            head[1:] = k[1:] != k[:-1]
+            goes_on = last is not None and int(k[0]) == last[0]
+            first = np.flatnonzero(head)
+            size = np.diff(np.append(first, len(k)))
+            centre = i[first].copy()
+            if goes_on:
+                centre[0] = last[1]
+                if held is not None:
+                    yield held
+                    held = None
+            centre = np.repeat(centre, size)
+            several = np.repeat(size > 1, size)
+            if goes_on:
+                several[: size[0]] = True
+            shared = several | ~alone[own]
+            source = source.copy()
+            source[own] = centre
+            passed[own] = shared
+            last = (int(k[-1]), int(centre[-1]))
+            held = None if shared[-1] else pa.RecordBatch.from_arrays([pa.array(k[-1:]), pa.array(i[-1:]), pa.array(centre[-1:]), pa.array([False])], _KEYS)
+        some = np.flatnonzero(passed)
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ident[some]), pa.array(source[some]), batch.column("local").take(pa.array(some))], _KEYS)
+
+
+def _stars(keys: DataFrame, name: str) -> DataFrame:
+    """(key, id, source) of the documents of every key that several have; source: the smallest id. A stored table.
+
+    Of a hot key a row a portion is shuffled; the rows that were combined then meet that one's source in a join, which has
+    one row a key on its other side and so can be split where it is skewed.
+    """
+    place = F.when(F.col("local"), F.xxhash64("id")).otherwise(F.col("key"))
+    met = keys.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("key", "id").mapInArrow(_centred, KEYS)
+    met = store(met, name)
+    hot = met.where("local").select("key", "id")
+    if hot.isEmpty():
+        return _with_path(met.drop("local"), met)
+    centres = met.join(hot.select("key").distinct(), "key", "left_semi").where("not local").groupBy("key").agg(F.min("source").alias("source"))
+    out = store(met.where("not local").drop("local").unionByName(hot.join(centres, "key").select("key", "id", "source")), name)
+    discard(met)
+    return out
 
-    return run
+
+def _with_path(df: DataFrame, stored: DataFrame) -> DataFrame:
+    df._ripplet_path = stored._ripplet_path
+    return df
 
 
 def all_windows(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -337,21 +459,85 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([h[i:j].tobytes() for i, j in zip(w.first[:-1], w.first[1:])], pa.binary())], ["id", "w"])
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame, span: int, similar: float) -> DataFrame:
+def _among(key: np.ndarray, row: np.ndarray, listed: pa.ListArray) -> np.ndarray:
+    """Whether each key is in its row's list."""
+    size = np.diff(listed.offsets.to_numpy())
+    salt = lambda k, r: mix(k.view(np.uint64) + r.astype(np.uint64) * _FUNCTION[62])
+    have = np.sort(salt(listed.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)))
+    if not len(have):
+        return np.zeros(len(key), bool)
+    want = salt(key, row)
+    return have[np.minimum(np.searchsorted(have, want), len(have) - 1)] == want
+
+
+def _shared_windows(b: pa.RecordBatch, span: int):
+    """(shingles, row of each, its first one, runs, for each band which runs have a key of their row's `keys`, windows of which that is true for all bands)."""
+    raw = b.column("w").cast(pa.large_binary())
+    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    word = np.frombuffer(raw.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4].astype(np.uint64)
+    sh, starts = shingles(word, (off - off[0]) // 4, SHINGLE)
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    runs = Runs(sh, row, span)
+    listed = b.column("keys")
+    own = [_among(k, r, listed) for k, r in zip(runs.key, runs.row)]
+    every = runs.ok.copy()
+    for band, chosen in enumerate(own):
+        every &= runs.windows(band, chosen)
+    return sh, row, starts, runs, own, every
+
+
+def _covered(n: int, starts: np.ndarray, spans: pa.ListArray, span: int) -> np.ndarray:
+    """Which places begin `span` shingles that all lie in one of their row's found passages."""
+    edge = np.zeros(n + 1, np.int64)
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
+    x, y = (flat.field(c).to_numpy() for c in ("start", "stop"))
+    first, last = starts[row] + x, starts[row] + y - SHINGLE - span + 2
+    some = last > first
+    np.add.at(edge, first[some], 1)
+    np.add.at(edge, last[some], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _open(span: int):
+    """Of documents with the keys by which they were compared and their found passages: (key, id, exact). exact: the key is one of a
+    window outside all found passages, and so are all others of that window; else: not both minima of its run lie in a found passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "w"):
+                sh, row, starts, runs, own, every = _shared_windows(b, span)
+                every &= ~_covered(len(sh), starts, b.column("spans"), span)[: runs.count]
+                within = _covered(len(sh), starts, b.column("spans"), 1)
+                ids = b.column("id").to_numpy()
+                for band, chosen in enumerate(own):
+                    first = runs.first[band]
+                    open_at = np.logical_or.reduceat(every, first) if len(first) else chosen
+                    for exact, some in ((True, chosen & open_at), (False, chosen & ~(within[runs.low[band]] & within[runs.high[band]]))):
+                        yield pa.RecordBatch.from_arrays([pa.array(runs.key[band][some]), pa.array(ids[runs.row[band][some]]), pa.array(np.full(int(some.sum()), exact))], ["key", "id", "exact"])
+
+    return run
+
+
+def _whole_windows(span: int):
+    """(hash of all shingles, id) of the windows that have all their keys in their document's list."""
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for b in slices(batch, "w"):
+                sh, row, _, _, _, every = _shared_windows(b, span)
+                at = np.flatnonzero(every)
+                total = np.concatenate([[U(0)], np.cumsum(mix(sh))])
+                yield mix(total[at + span] - total[at]).view(np.int64), b.column("id").to_numpy()[row[at]]
+
+    return lambda batches: _merged(parts(batches))
+
+
+def _confirm(pairs: DataFrame, word: DataFrame, span: int, similar: float) -> DataFrame:
     """The passages of the pairs (id, source)."""
-    ids = store(pairs.select("id").unionByName(pairs.select(F.col("source").alias("id"))).distinct(), "passage-ids")
-    word = store(only(rows, ids).mapInArrow(_words, "id long, w binary"), "passage-words")
     # by source first: the comparison then runs where the ids are, and a source of many documents is no hot task
     both = pairs.select("id", "source").join(word.select(F.col("id").alias("source"), F.col("w").alias("y")), "source").join(word.withColumnRenamed("w", "x"), "id")
-    out = store(both.select("id", "source", "x", "y").mapInArrow(_compare(span, similar), FOUND).distinct(), "passages")
-    discard(word, ids)
-    return out
-
-
-def _stars(keys: DataFrame) -> DataFrame:
-    """(key, id, source) of every document that shares a key with one of smaller id; source: the smallest."""
-    shared = keys.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("most")).where("source < most").drop("most")
-    return keys.join(shared, "key").where("id > source")
+    return store(both.select("id", "source", "x", "y").mapInArrow(_compare(span, similar), FOUND).distinct(), "passages")
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
@@ -360,23 +546,30 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     ship(spark)
     span = max(1, least - SHINGLE + 1)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    keys = store(rows.mapInArrow(_signature_rows(span, False), "key long, id long"), "signatures")
-    pairs = store(_stars(keys).select("id", "source").distinct(), "passage-pairs")
-    discard(keys)
-    found = _confirm(pairs, rows, span, similar)
-    # documents of pairs without a passage look again, by signature and context
-    open_pairs = pairs.join(found.select("id", "source").distinct(), ["id", "source"], "left_anti")
-    ids = store(open_pairs.select("id").distinct(), "open-ids")
-    again = only(rows, ids).mapInArrow(_signature_rows(span, True), "key long, id long")
-    again = store(again, "context-signatures")
-    # the source may be any document, also one that found its own passages
-    everyone = rows.mapInArrow(_signature_rows(span, True), "key long, id long")
-    first = everyone.join(again.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("source"))
-    second = again.join(first, "key").where("id > source").select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
-    second = store(second, "context-pairs")
-    discard(again, ids)
-    if not second.isEmpty():
-        found = found.unionByName(_confirm(second, rows, span, similar))
+    shared = _stars(rows.mapInArrow(_signatures(span), KEYS), "signatures")
+    pairs = store(shared.where("id <> source").select("id", "source").distinct(), "passage-pairs")
+    ids = store(shared.select("id").distinct(), "passage-ids")
+    word = store(only(rows, ids).mapInArrow(_words, "id long, w binary"), "passage-words")
+    found = _confirm(pairs, word, span, similar)
+    # what is still open: windows that share all their keys but lie in no passage, and keys of which no minimum does
+    spans = found.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    # a document that is the smallest of a key has no smaller one with the same window
+    listed = shared.where("id <> source").groupBy("id").agg(F.collect_set("key").alias("keys")).join(spans, "id", "left")
+    listed = listed.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,stop:long>>)")))
+    left = store(word.join(listed, "id").mapInArrow(_open(span), "key long, id long, exact boolean").distinct(), "open-keys")
+    # a star with the smallest id of those that are still open
+    again = _stars(left.where("not exact").select("key", "id", F.lit(None).cast("long").alias("source"), F.lit(False).alias("local")), "open-stars")
+    # and one with the smallest id of those that have the very same window
+    exact = shared.join(left.where("exact").select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    same = _stars(word.join(exact, "id").mapInArrow(_whole_windows(span), KEYS), "same-windows")
+    more = again.unionByName(same).where("id <> source").select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
+    more = store(more, "open-pairs")
+    if not more.isEmpty():
+        found = found.unionByName(_confirm(more, word, span, similar))
+    discard(shared, pairs, ids, left, again, same, more, word)
+    # equal passages all have the smallest id that holds them, so one row says as much as one for each smaller id
+    equal = found.where("similarity = 1").groupBy("id", "start", "stop").agg(F.min(F.struct("source", "source_start", "source_stop")).alias("s"))
+    found = found.where("similarity < 1").unionByName(equal.select("id", "start", "stop", "s.*", F.lit(1.0).alias("similarity")))
     return found.withColumnRenamed("id", key)
 
 
@@ -384,10 +577,13 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
     """`df` with the repeated passages cut out of the documents of larger id; documents of which no word is left go."""
     ship(df.sparkSession)
     cols = df.columns
-    spans = found.groupBy(F.col(key).alias("\x01id")).agg(F.collect_set(F.struct("start", "stop")).alias("\x01spans"))
+    spans = store(found.groupBy(F.col(key).alias("\x01id")).agg(F.collect_set(F.struct("start", "stop")).alias("\x01spans")), "spans")
+    ids = spans.select("\x01id")
+    # texts without a passage stay where they are as long as the ids of the others can be sent to them
+    ids = F.broadcast(ids) if spans.count() <= BROADCAST_IDS else ids
     # a row whose passage is kept nowhere else must not go: passages go only from the larger id to a smaller one
-    both = df.join(spans, F.col(key) == F.col("\x01id"), "left").drop("\x01id")
-    clean = both.where("`\x01spans` is null").select(*cols)
+    clean = df.join(ids, F.col(key) == F.col("\x01id"), "left_anti")
+    both = df.join(ids, F.col(key) == F.col("\x01id"), "left_semi").join(spans, F.col(key) == F.col("\x01id")).drop("\x01id")
     at = cols.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,10 +594,10 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
                 out.append(t)
                 keep.append(bool(t.strip()))
             arrays = [b.column(c) for c in cols]
-            arrays[at] = pa.array(out, pa.string())
+            arrays[at] = pa.array(out, b.schema.field(text).type)
             yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
 
-    return clean.unionByName(both.where("`\x01spans` is not null").mapInArrow(run, df.schema))
+    return clean.select(*cols).unionByName(both.mapInArrow(run, df.schema))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -85,7 +85,9 @@ def one(text):
 
 
 def signatures(text):
-    return set(next(P._signature_rows(46, False)(iter([one(text)]))).column("key").to_pylist())
+    t = P.Text(next(P._words(iter([one(text)]))).column("w")[0].as_py(), 46)
+    k, _, c, _ = P.all_windows(t.sh, 46)
+    return set(zip(k.tolist(), t.sh[c].tolist()))
 
 
 def links(spark, texts):
@@ -137,3 +139,76 @@ def test_a_stretch_that_fails_is_judged_in_parts():
     copy = prose(rng, 200).split()
     got = P.passages(text([*copy, *prose(rng, 75).split(), *line]), text([*copy, *prose(rng, 15).split(), *line]), 0.8)
     assert [(p, q, u, v) for p, q, u, v, _ in got] == [(0, 195, 0, 195)]
+
+
+def corpus(rng, documents, phrases, passages, near):
+    """Texts of prose, common phrases and planted passages, some of which have a word changed here and there."""
+    phrases = [prose(rng, rng.randint(8, 35)).split() for _ in range(phrases)]
+    # a passage is made of common phrases too, so that its signatures lead to many documents without it
+    planted = []
+    for _ in range(passages):
+        w = []
+        while len(w) < rng.randint(50, 120):
+            w += rng.choice(phrases) if rng.random() < 0.6 else prose(rng, rng.randint(3, 20)).split()
+        planted.append(w)
+    texts = {}
+    for i in range(documents):
+        parts = [prose(rng, rng.randint(1, 40)).split() for _ in range(rng.randint(1, 4))]
+        parts += [rng.choice(phrases) for _ in range(rng.randint(0, 4))]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            w = list(rng.choice(planted))
+            if rng.random() < near:
+                for k in range(rng.randint(10, 40), len(w), 70):
+                    w[k] = f"x{rng.randint(0, 10**6)}"
+            parts.append(w)
+        rng.shuffle(parts)
+        texts[i] = [x for p in parts for x in p]
+    return texts
+
+
+def found_words(spark, texts):
+    out = {i: set() for i in texts}
+    for r in P.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect():
+        assert r.source < r.doc_id and r.similarity >= 0.8
+        a, b = (set(zip(*(t[k:] for k in range(5)))) for t in (texts[r.doc_id][r.start : r.stop], texts[r.source][r.source_start : r.source_stop]))
+        assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9
+        out[r.doc_id].update(range(r.start, r.stop))
+    return out
+
+
+def test_every_exact_repeat_of_fifty_words_is_found_against_brute_force(spark):
+    for seed in range(3):
+        texts = corpus(random.Random(seed), 250, 12, 10, 0.2)
+        found = found_words(spark, texts)
+        seen, missed, repeated = set(), [], 0
+        for i in sorted(texts):
+            windows = list(zip(*(texts[i][k:] for k in range(50))))
+            for k, w in enumerate(windows):
+                if w in seen:
+                    repeated += 1
+                    if not found[i].issuperset(range(k, k + 50)):
+                        missed.append((i, k))
+            seen.update(windows)
+        assert repeated > 1000 and not missed, (seed, repeated, missed[:10])
+
+
+def test_near_repeats_are_found_against_brute_force(spark):
+    caught = total = 0
+    for seed in (11,):
+        texts = corpus(random.Random(seed), 160, 12, 10, 0.9)
+        found = found_words(spark, texts)
+        # every window of 60 words of a document against every one of smaller ids, by a count of common shingles
+        gram = {i: [hash(g) for g in zip(*(w[k:] for k in range(5)))] for i, w in texts.items()}
+        grid = []
+        for i in sorted(texts):
+            own = np.array([np.unique(gram[i][k : k + 56]) for k in range(0, len(gram[i]) - 55, 4) if len(set(gram[i][k : k + 56])) == 56])
+            for row in own:
+                if grid:
+                    common = max(int(np.isin(g, row).sum(axis=1).max()) for g in grid)
+                    if common / (112 - common) >= 0.8:
+                        total += 1
+                        k = next(k for k in range(0, len(gram[i]) - 55, 4) if set(gram[i][k : k + 56]) == set(row.tolist()))
+                        caught += len(found[i] & set(range(k, k + 60))) >= 45
+            if len(own):
+                grid.append(own)
+    assert total > 100 and caught >= 0.95 * total, (caught, total)
