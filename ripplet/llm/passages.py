@@ -248,12 +248,11 @@ def _with_path(df: DataFrame, stored: DataFrame) -> DataFrame:
     return df
 
 
-def all_windows(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(function, l, c, r) of the compact windows of one text for every function, by place; the same as `windows`, at once."""
+def nodes(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(function, c) of the compact windows of one text for every function, by place."""
     n = len(sh)
-    none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.zeros(n, np.int8)
     v = np.stack([values(sh, row, k)[0] for k in range(HASHES)])
     low = (U(1) << U(max(1, (n - 1).bit_length()))) - U(1)
@@ -267,18 +266,24 @@ def all_windows(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.n
     new[:, 1:] = m[:, 1:] != m[:, :-1]
     k, at = np.nonzero(new)
     c = (m[k, at] & low).astype(np.int64)
-    left, right = np.zeros(len(c), np.int64), np.full(len(c), n - 1)
+    order = np.argsort(c, kind="stable")
+    return k[order], c[order]
+
+
+def all_windows(sh: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(function, l, c, r) of the compact windows of one text for every function, by place; the same as `windows`, at once."""
+    k, c = nodes(sh, span)
+    left, right, row = np.zeros(len(c), np.int64), np.full(len(c), len(sh) - 1), np.zeros(len(sh), np.int8)
     for f in range(HASHES):
         own = np.flatnonzero(k == f)
-        x, places, stack = v[f, c[own]].tolist(), c[own].tolist(), []
+        x, places, stack = values(sh, row, f)[0][c[own]].tolist(), c[own].tolist(), []
         for i, value in enumerate(x):
             while stack and x[stack[-1]] > value:
                 right[own[stack.pop()]] = places[i] - 1
             if stack:
                 left[own[i]] = places[stack[-1]] + 1
             stack.append(i)
-    order = np.argsort(c, kind="stable")
-    return k[order], left[order], c[order], right[order]
+    return k, left, c, right
 
 
 class Text:
@@ -298,12 +303,17 @@ class Text:
         return value, place, rank
 
     @cached_property
-    def index(self) -> dict[tuple[int, int], list[int]]:
-        out: dict[tuple[int, int], list[int]] = {}
-        k, _, c, _ = all_windows(self.sh, self.span)
-        for s, x in zip(zip(k.tolist(), self.sh[c].tolist()), c.tolist()):
-            out.setdefault(s, []).append(x)
-        return out
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, place) of the compact windows, by place."""
+        k, c = nodes(self.sh, self.span)
+        return self.sh[c] + _FUNCTION[k], c
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same, by signature; among equal ones places ascend."""
+        signature, c = self.nodes
+        order = np.argsort(signature, kind="stable")
+        return signature[order], c[order]
 
 
 def aligned(a: Text, b: np.ndarray, at: int, shift: int) -> np.ndarray:
@@ -382,22 +392,21 @@ def passages(a: Text, b: Text, similar: float) -> list[tuple[int, int, int, int,
     if (total[span:] - total[:-span]).max() < least:
         return []
     lo, hi, room = _stretches(hit, span, ratio)
-    k, _, c, _ = all_windows(b.sh, span)
-    keep = hit[c]
+    signature, c = b.nodes
     block = np.searchsorted(lo, c, "right") - 1
-    keep &= room[np.maximum(block, 0)]
-    index = a.index
-    some = [i for i in np.flatnonzero(keep).tolist() if (int(k[i]), int(b.sh[c[i]])) in index]
-    if not some:
-        return []
+    some = np.flatnonzero(hit[c] & room[np.maximum(block, 0)])
+    known, places = a.index
+    lower, upper = (np.searchsorted(known, signature[some], side) for side in ("left", "right"))
+    both = upper > lower
+    seeds = zip(some[both].tolist(), lower[both].tolist(), upper[both].tolist())
     found: list[tuple[int, int, int, int, float]] = []
     done, tried = np.zeros(n, bool), set()
-    for i in some:
+    for i, near, far in seeds:
         at = int(c[i])
         if done[at]:
             continue
         x0, x1 = int(lo[block[i]]), int(hi[block[i]])
-        for m in index[int(k[i]), int(b.sh[at])]:
+        for m in places[near:far].tolist():
             # an alignment tolerates drift, so that near shifts of one stretch share it; it is searched once, for all seeds on it
             key = (x0, (at - m) // (DRIFT // 4))
             if key in tried:
