@@ -19,17 +19,17 @@ def _counted(docs):
 def language(spark, docs, sf_dir):
     """Documents whose language is told with enough certainty; the classifier learns from these documents' own labels."""
     model = langid.learn(docs.where(~F.coalesce(langid.held_out(), F.lit(False))), "text", "lang")
-    cols = [F.col(c) for c in docs.columns]
-    told = langid.identify(docs, "text", model, cols)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    told = langid.identify(docs, "text", model, cols, ("\x01language", "\x01score", "\x01rejected"))
     # without a single label there is nothing to reject by but the lack of letters
-    return told.where("not rejected").select(*cols) if model.languages else docs.where(F.col("text").rlike(r"\p{L}"))
+    return told.where(~F.col("\x01rejected")).select(*cols) if model.languages else docs.where(F.col("text").rlike(r"\p{L}"))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near duplicates, with a similarity of 0.8 or more: the one with the smallest id."""
     groups = minhash.near_duplicates(docs, percent=80)
     gone = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
 
 

@@ -73,6 +73,13 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def split(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose value is among the distinct, stored `ids` (one column), and the others: texts needn't move as long as the ids can be broadcast."""
+    there = ids.toDF("\x01there")
+    there = F.broadcast(there) if ids.count() <= BROADCAST_IDS else there
+    return tuple(rows.join(there, F.col(column) == F.col("\x01there"), how) for how in ("left_semi", "left_anti"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of `edges(a, b)`: (id, component) with the smallest id of each, for ids that have an edge.
 

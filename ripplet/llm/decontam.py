@@ -7,12 +7,15 @@ out; everything else of the shard is indexed: suffixes are sorted, the Burrows-W
 matrix, and every SAMPLE-th position of a stretch is kept. All windows are searched backwards at once by rank queries;
 occurrences are located by stepping back to a sampled position, and merged into the spans to remove.
 
-The benchmark is searched in blocks of at most BLOCK_WORDS words, so that what each task holds is bounded however large
-the benchmark is; with several blocks the index of a shard is searched for each in the same task.
+The benchmark is read in blocks of about BLOCK_WORDS words (an item of more is read in pieces that overlap by a window less a
+word), one at a time by the driver, and one at a time is sent to the workers: at a window of 13 words a block takes some
+25 MB there. With several blocks the rows are numbered and stored, each block's hits are found in a pass of its own,
+and merged by row; the result is that of one block.
 
 Defined cases: null or empty text, or text without words: 0 words, not contaminated, no spans. Items without words are ignored; items with
 equal windows each count, but rows of the same item id as one. Null item ids count as the empty string. Repeated rows and null ids give a row each. Empty
-tables: no rows, or rows without hits. Further columns are ignored.
+tables: no rows, or rows without hits. Further columns, whatever their names, are ignored by `decontaminate` and carried along by
+`remove_hits`. A text is held whole by its task, with about 60 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -25,34 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship
+from ripplet.llm.cluster import ship, split, store
 from ripplet.llm.lexing import NOT_WORD, U, Words, slices, texts
 
-WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS = 13, 3_000_000, 8, 400_000
+WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS = 13, 2_000_000, 8, 400_000
 
 
 class Benchmark:
-    """The distinct windows of some items: `words` (sorted word hashes), `windows` (length -> matrix of codes), `items` of each window."""
+    """The distinct windows of some items.
+
+    words: sorted word hashes; windows: (matrix of codes, number of the first) for each length; the items of window n are
+    item[start[n]:start[n + 1]], and ids has their names.
+    """
 
     def __init__(self, ids: list[str], column: pa.Array, window: int):
-        buf, off = texts(column)
-        w = Words(buf, off, NOT_WORD)
+        w = Words(*texts(column), NOT_WORD)
         h = w.hashes()
-        self.words = np.unique(h)
-        code = np.searchsorted(self.words, h).astype(np.int64) + 1
-        found: dict[tuple, list[int]] = {}
-        for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
-            own = code[a:b].tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                at = found.setdefault(tuple(own[k : k + window]), [])
-                if not at or at[-1] != i:
-                    at.append(i)
-        self.ids = ids
-        self.windows: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for n in sorted({len(k) for k in found}):
-            some = [(k, v) for k, v in found.items() if len(k) == n]
-            self.windows[n] = (np.array([k for k, _ in some], np.int64), [v for _, v in some])
-        self.shortest = min(self.windows, default=0)
+        self.ids, self.words = ids, np.unique(h)
+        code = np.searchsorted(self.words, h).astype(np.int32) + 1
+        count = np.diff(w.first)
+        self.windows: list[tuple[np.ndarray, int]] = []
+        numbers, owners, base = [], [], 0
+        for n in sorted({*np.minimum(count, window).tolist()} - {0}):
+            some = np.flatnonzero(np.minimum(count, window) == n)
+            per = count[some] - n + 1
+            owner = np.repeat(some, per)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per) + w.first[owner]
+            rows = np.ascontiguousarray(code[at[:, None] + np.arange(n)])
+            _, first, inverse = np.unique(rows.view(np.dtype((np.void, rows.itemsize * n))).ravel(), return_index=True, return_inverse=True)
+            self.windows.append((rows[first], base))
+            numbers.append(inverse + base)
+            owners.append(owner)
+            base += len(first)
+        pairs = np.unique(np.concatenate(numbers).astype(np.int64) * max(1, len(ids)) + np.concatenate(owners)) if numbers else np.zeros(0, np.int64)
+        self.count = base
+        self.start = np.searchsorted(pairs // max(1, len(ids)), np.arange(base + 1))
+        self.item = (pairs % max(1, len(ids))).astype(np.int32)
+        self.shortest = self.windows[0][0].shape[1] if self.windows else 0
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.words >> U(48)).astype(np.int64)] = True
 
@@ -177,135 +189,181 @@ class FMIndex:
         return window, out
 
 
-def find(b: pa.RecordBatch, blocks: list[Benchmark]):
-    """(words of each row, hits as (row, first word, length, block, window))."""
-    buf, off = texts(b.column("text"))
-    w = Words(buf, off, NOT_WORD)
+def find(w: Words, bench: Benchmark) -> tuple[np.ndarray, list[set[str]]]:
+    """(which words are hit, the items that occur in each row)."""
+    rows = len(w.off) - 1
+    edge, items = np.zeros(len(w.start) + 1, np.int64), [set() for _ in range(rows)]
     h = w.hashes()
-    hits = []
-    for n, bench in enumerate(blocks):
-        if not bench.shortest or not len(h):
-            continue
-        code = bench.codes(h)
-        # stretches: runs of known words within a document
-        cut = np.ones(len(code), bool)
-        cut[1:] = (code[1:] == 0) | (code[:-1] == 0) | (w.doc[1:] != w.doc[:-1])
-        begin = np.flatnonzero(cut)
-        size = np.diff(np.concatenate([begin, [len(code)]]))
-        use = (size >= bench.shortest) & (code[begin] > 0)
-        begin, size = begin[use], size[use]
-        if not len(begin):
-            continue
-        total = int(size.sum()) + len(size)
-        where = np.full(total, -1, np.int64)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        slot = np.repeat(np.cumsum(size + 1) - size - 1, size) + inner
-        where[slot] = np.repeat(begin, size) + inner
-        symbols = np.where(where >= 0, code[where], 0)
-        index = FMIndex(symbols, len(bench.words))
-        for length, (windows, _) in bench.windows.items():
-            which, at = index.search(windows)
-            if len(at):
-                first = where[at]
-                hits.append(np.stack([w.doc[first], first, np.full(len(at), length), np.full(len(at), n), which], axis=1))
-    return w, np.concatenate(hits) if hits else np.zeros((0, 5), np.int64)
-
+    code = bench.codes(h) if bench.shortest and len(h) else np.zeros(0, np.int64)
+    if not code.any():
+        return np.zeros(len(h), bool), items
+    # stretches: runs of known words within a document
+    cut = np.ones(len(code), bool)
+    cut[1:] = (code[1:] == 0) | (code[:-1] == 0) | (w.doc[1:] != w.doc[:-1])
+    begin = np.flatnonzero(cut)
+    size = np.diff(np.concatenate([begin, [len(code)]]))
+    use = (size >= bench.shortest) & (code[begin] > 0)
+    begin, size = begin[use], size[use]
+    if not len(begin):
+        return np.zeros(len(h), bool), items
+    total = int(size.sum()) + len(size)
+    where = np.full(total, -1, np.int64)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    slot = np.repeat(np.cumsum(size + 1) - size - 1, size) + inner
+    where[slot] = np.repeat(begin, size) + inner
+    index = FMIndex(np.where(where >= 0, code[where], 0), len(bench.words))
+    for windows, base in bench.windows:
+        which, at = index.search(windows)
+        first = where[at]
+        edge += np.bincount(first, minlength=len(edge))
+        edge -= np.bincount(first + windows.shape[1], minlength=len(edge))
+        for x in np.unique(w.doc[first] * bench.count + which + base).tolist():
+            d, n = divmod(x, bench.count)
+            items[d].update(bench.ids[i] for i in bench.item[bench.start[n] : bench.start[n + 1]].tolist())
+    return np.cumsum(edge[:-1]) > 0, items
+
+
+def runs(w: Words, hit: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The runs of hit words of each row, by word numbers of the batch."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(w.off) - 1)]
+    for a, z in np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist():
+        while a < z:  # a run may go on in the next document
+            d = int(w.doc[a])
+            stop = min(z, int(w.first[d + 1]))
+            out[d].append((a, stop))
+            a = stop
+    return out
+
+
+def load(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[Benchmark]:
+    """The benchmark in blocks of bounded size, in the order of its ids; at least one."""
+    ids, held, size, some = [], [], 0, False
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(text, F.lit("")).alias("t")).orderBy("i", "t")
+    for r in rows.toLocalIterator():
+        raw = r.t.encode()
+        w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NOT_WORD)
+        piece = max(BLOCK_WORDS, 2 * window)
+        for at in range(0, max(1, len(w.start) - window + 1), piece - window + 1):
+            part = raw[int(w.start[at]) : int(w.end[min(at + piece, len(w.end)) - 1])] if len(w.start) else b""
+            ids.append(r.i)
+            held.append(part.decode())
+            size += min(piece, len(w.start) - at)
+            if size >= BLOCK_WORDS:
+                yield Benchmark(ids, pa.array(held, pa.string()), window)
+                ids, held, size, some = [], [], 0, True
+    if ids or not some:
+        yield Benchmark(ids, pa.array(held, pa.string()), window)
+
+
+def _search(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int, result, schema) -> DataFrame:
+    """What `result` makes of (batch, its words, which of them are hit, items of each row); the batch's columns are c0, c1, ..."""
+    spark = docs.sparkSession
+    ship(spark)
+    t = f"c{docs.columns.index(text)}"
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    blocks = load(benchmark, item, item_text, window)
+    shared, following = spark.sparkContext.broadcast(next(blocks)), next(blocks, None)
+
+    def words(b: pa.RecordBatch) -> Words:
+        return Words(*texts(b.column(t)), NOT_WORD)
+
+    if following is None:
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, t, SHARD_BYTES):
+                    w = words(b)
+                    yield result(b, w, *find(w, shared.value))
+
+        return rows.mapInArrow(once, schema)
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    parts = []
+    while shared:
+
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, t, SHARD_BYTES):
+                    w = words(b)
+                    hit, items = find(w, shared.value)
+                    found = [(row, [x - int(w.first[d]) for a in own for x in a], sorted(named)) for d, (row, own, named) in enumerate(zip(b.column("row").to_pylist(), runs(w, hit), items)) if own]
+                    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "ends", "items"])
+
+        parts.append(store(rows.select(t, "row").mapInArrow(hits, "row long, ends array<long>, items array<string>"), "block-hits"))
+        shared.destroy()
+        shared, following = spark.sparkContext.broadcast(following) if following else None, next(blocks, None)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = store(found.groupBy("row").agg(F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "hits")
+    touched, clean = split(rows, "row", found.select("row"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, t, SHARD_BYTES):
+                w = words(b)
+                edge = np.zeros(len(w.start) + 1, np.int64)
+                for d, ends in enumerate(b.column("ends").to_pylist()):
+                    np.add.at(edge, np.array(ends or [], np.int64) + w.first[d], np.tile([1, -1], len(ends or []) // 2))
+                yield result(b, w, np.cumsum(edge[:-1]) > 0, [set(x or []) for x in b.column("items").to_pylist()])
 
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,stop:int>>"
+    nothing = clean.selectExpr("*", "cast(null as array<long>) as ends", "cast(null as array<string>) as items")
+    return touched.join(found, "row").select(nothing.columns).unionByName(nothing).mapInArrow(merge, schema)
 
 
-def load(benchmark: DataFrame, item: str, text: str, window: int) -> list[Benchmark]:
-    """The benchmark in blocks of bounded size, in the order of its ids."""
-    blocks, ids, held, size = [], [], [], 0
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(text, F.lit("")).alias("t")).orderBy("i", "t")
-    for r in rows.toLocalIterator():
-        ids.append(r.i)
-        held.append(r.t)
-        size += len(r.t) // 4
-        if size >= BLOCK_WORDS:
-            blocks.append(Benchmark(ids, pa.array(held, pa.string()), window))
-            ids, held, size = [], [], 0
-    if ids:
-        blocks.append(Benchmark(ids, pa.array(held, pa.string()), window))
-    return blocks
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,stop:int>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, and the columns to carry).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans).
 
     spans: merged runs of hit words as byte positions in the UTF-8 text.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(load(benchmark, item, item_text, window))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
-        for batch in batches:
-            for b in slices(batch, "text", SHARD_BYTES):
-                w, hits = find(b, blocks)
-                rows = b.num_rows
-                edge = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(edge, hits[:, 1], 1)
-                np.add.at(edge, hits[:, 1] + hits[:, 2], -1)
-                hit = np.cumsum(edge[:-1]) > 0
-                per = np.add.reduceat(np.concatenate([hit, [0]]).astype(np.int64), w.first[:-1]) * (np.diff(w.first) > 0) if rows else []
-                items: list[set] = [set() for _ in range(rows)]
-                for d, _, length, n, which in np.unique(hits[:, [0, 2, 3, 4]], axis=0)[:, [0, 0, 1, 2, 3]].tolist():
-                    bench = blocks[n]
-                    items[d].update((n, i) for i in bench.windows[length][1][which])
-                named = [sorted({blocks[n].ids[i] for n, i in x}) for x in items]
-                runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                spans: list[list] = [[] for _ in range(rows)]
-                for a, z in runs.reshape(-1, 2).tolist():
-                    while a < z:  # a run may go on in the next document
-                        d = int(w.doc[a])
-                        stop = min(z, int(w.first[d + 1]))
-                        spans[d].append({"start": int(w.start[a] - w.off[d]), "stop": int(w.end[stop - 1] - w.off[d])})
-                        a = stop
-                words = np.diff(w.first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("key"),
-                        pa.array(words, pa.int64()),
-                        pa.array(per, pa.int64()),
-                        pa.array([len(x) for x in named], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()),
-                        pa.array((per > 0) & (20 * per >= words), pa.bool_()),
-                        pa.array(named, pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                        *(b.column(f"c_{c}") for c in carry),
-                    ],
-                    [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", *carry],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = ", ".join([f"`{key}` {kind}", SCHEMA, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)).mapInArrow(run, schema)
-
-
-def remove_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the spans of benchmark windows cut out; documents of which no word is left by that go."""
+    def result(b: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set[str]]) -> pa.RecordBatch:
+        words, total = np.diff(w.first), np.concatenate([[0], np.cumsum(hit)])
+        per = total[w.first[1:]] - total[w.first[:-1]]
+        named = [sorted(x) for x in items]
+        spans = [[{"start": int(w.start[a] - w.off[d]), "stop": int(w.end[z - 1] - w.off[d])} for a, z in own] for d, own in enumerate(runs(w, hit))]
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column("c0"),
+                pa.array(words, pa.int64()),
+                pa.array(per, pa.int64()),
+                pa.array([len(x) for x in named], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()),
+                pa.array((per > 0) & (20 * per >= words), pa.bool_()),
+                pa.array(named, pa.list_(pa.string())),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+            ],
+            [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+        )
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return _search(rows, "text", benchmark, item, item_text, window, result, f"`{key}` {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+
+
+def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """`docs` with the hit words cut out, from the first to the last of each run; documents of which no word is left by that go."""
     cols = docs.columns
     at = cols.index(text)
-    marked = decontaminate(docs.withColumn("\x01key", F.lit(0)), benchmark, "\x01key", text, carry=tuple(cols)).select(*cols, F.col("spans").alias("\x01spans"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, keep = b.column(text).to_pylist(), [True] * b.num_rows
-            for i, spans in enumerate(b.column("\x01spans").to_pylist()):
-                if spans:
-                    raw, stop, parts = out[i].encode(), 0, []
-                    for s in spans:
-                        parts.append(raw[stop : s["start"]])
-                        stop = s["stop"]
-                    rest = b"".join([*parts, raw[stop:]])
-                    out[i], keep[i] = rest.decode(), bool((~NOT_WORD[np.frombuffer(rest, np.uint8)]).any())
-            arrays = [b.column(c) for c in cols]
-            arrays[at] = pa.array(out, b.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
-
-    return marked.mapInArrow(run, docs.schema)
+
+    def result(b: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set[str]]) -> pa.RecordBatch:
+        own = {d: x for d, x in enumerate(runs(w, hit)) if x}
+        arrays, keep = [b.column(f"c{i}") for i in range(len(cols))], np.ones(b.num_rows, bool)
+        if own:
+            out = arrays[at].to_pylist()
+            for d, x in own.items():
+                raw, stop, parts = w.buf[w.off[d] : w.off[d + 1]].tobytes(), 0, []
+                for a, z in x:
+                    parts.append(raw[stop : int(w.start[a] - w.off[d])])
+                    stop = int(w.end[z - 1] - w.off[d])
+                rest = b"".join([*parts, raw[stop:]])
+                out[d], keep[d] = rest.decode(), bool((~NOT_WORD[np.frombuffer(rest, np.uint8)]).any())
+            arrays[at] = pa.array(out, arrays[at].type)
+        return pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep))
+
+    return _search(docs, text, benchmark, item, item_text, window, result, docs.schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,21 @@
 A text becomes its letters, lower-cased, with every run of other characters as one space; its subwords are all 1- to
 4-grams of that, hashed into BUCKETS rows of an embedding; the mean of their embeddings goes through a linear softmax.
 Embedding and softmax are trained together by stochastic gradient descent in numpy on pieces of labelled texts. Then
-a temperature and a rejection threshold are fitted on documents that training held back: `score` is the calibrated
+a temperature and rejection thresholds are fitted on documents that training held back: `score` is the calibrated
 probability of the predicted language, and a document is rejected if its score is below what all but REJECT of the
-held-back documents and of pieces of them reach. For prediction embedding and softmax are multiplied to one table, so that a subword costs
+held-back documents and of pieces of them reach, less SLACK of what that is below their median (in log odds). A softmax is sure of texts that are like nothing it knows, so that a second
+measure is calibrated too: the mean log frequency of a text's 3- and 4-grams in the predicted language. A document is
+rejected if that is below the least of held-back pieces of its length, less SLACK of what these are below their median, and
+below their median by MARGIN (so that texts partly in another language stay).
+For prediction embedding and softmax are multiplied to one table, so that a subword costs
 one row of it, and all of a text counts, however long.
 
-Training draws on at most TRAIN_ROWS labelled rows, chosen by hash, and SAMPLE_CHARS characters of each; see `learn`.
+Training draws on at most TRAIN_ROWS labelled rows, chosen by hash, and SAMPLE_CHARS characters of each; see `learn`. More
+than MOST_LABELS different labels are an error.
 
 Defined cases: null text or text without a letter: `und`, score 0, rejected. Without a labelled row all texts are `und`
-with score 0. Ids and labels never reach the prediction. Repeated rows get a row each; empty tables give an empty table.
+with score 0. Ids and labels never reach the prediction. Repeated rows get a row each; equal scores: the smaller label; empty
+tables give an empty table. Columns to keep may have any name; where one has that of a result, see `identify`.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ from pyspark.sql import functions as F
 from ripplet.llm.cluster import ship
 from ripplet.llm.lexing import slices
 
-TRAIN_ROWS, SAMPLE_CHARS, PIECE, BUCKETS, DIM, EPOCHS, RATE, REJECT = 4000, 8000, 400, 1 << 16, 16, 3, 0.5, 0.001
+TRAIN_ROWS, SAMPLE_CHARS, PIECE, BUCKETS, DIM, EPOCHS, RATE, REJECT, SLACK, MARGIN, MOST_LABELS = 4000, 8000, 400, 1 << 16, 16, 3, 0.5, 0.001, 0.15, 4.0, 500
 #: Lengths of the held-back pieces by which rejection is calibrated beside whole texts.
 SHORT = (20, 50, 100, 200, 400)
+#: The same for frequencies; the n-grams that count there.
+LENGTHS, FREQUENT = (6, 12, 20, 50, 100, 200, 400, SAMPLE_CHARS), (3, 4)
 ORDERS = (1, 2, 3, 4)
 _fold: np.ndarray | None = None
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -93,6 +101,20 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    seen: np.ndarray | None = None  # BUCKETS x languages: log frequencies of FREQUENT n-grams
+    knots: tuple[list[float], list[float]] = ((0.0,), (-np.inf,))  # log of letters, least mean log frequency
+
+    def familiar(self, texts: list[str], language: np.ndarray) -> np.ndarray:
+        """The mean log frequency of each text's n-grams in the given language; 0 for texts that have none."""
+        cp, starts, _ = letters(texts)
+        total, count, row = np.zeros(len(texts)), np.zeros(len(texts)), np.repeat(np.arange(len(texts)), np.diff(starts))
+        for n, b in subwords(cp):
+            if n in FREQUENT:
+                at = np.flatnonzero(_ends(starts, n))
+                own = row[at]
+                total += np.bincount(own, self.seen[b[at], language[own]], len(texts))
+                count += np.bincount(own, minlength=len(texts))
+        return total / np.maximum(count, 1)
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(logits, letters) of each text."""
@@ -120,7 +142,10 @@ class Model:
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         score = np.where(known, p[np.arange(len(texts)), best], 0.0)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, known)], score, ~known | (score < self.least)
+        rejected = ~known | (score < self.least)
+        if self.seen is not None:
+            rejected |= self.familiar([t or "" for t in texts], best) < np.interp(np.log(np.maximum(has, 1)), *self.knots)
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, known)], score, rejected
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
@@ -184,7 +209,28 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             z = z[has > 0]
             p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
             top = np.concatenate([top, (p / p.sum(axis=1, keepdims=True)).max(axis=1)])
-            model.least = float(np.quantile(top, REJECT))
+            # by log odds, as few held-back rows say little about so small a share
+            odds = np.log(np.maximum(top, 1e-12)) - np.log(np.maximum(1 - top, 1e-12))
+            low = np.quantile(odds, REJECT)
+            model.least = float(1 / (1 + np.exp(-(low - SLACK * (np.median(odds) - low)))))
+            counts = np.full((BUCKETS, len(languages)), 0.1)
+            for i in train:
+                cp, _, _ = letters([texts[i]])
+                for n, b in subwords(cp):
+                    if n in FREQUENT:
+                        counts[:, languages.index(labels[i])] += np.bincount(b, minlength=BUCKETS)
+            model.seen = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+            at, least = [], []
+            for size in LENGTHS:
+                cut = [texts[i][k : k + size] for i in held for k in rng.integers(0, max(1, len(texts[i]) - size + 1), 3)]
+                z, has = model.logits(cut)
+                some = has > 0
+                f = model.familiar(cut, z.argmax(axis=1))[some]
+                if len(f):
+                    at.append(float(np.log(np.median(has[some]))))
+                    least.append(float(min(f.min() - SLACK * (np.median(f) - f.min()), np.median(f) - MARGIN)))
+            order = np.argsort(at, kind="stable")
+            model.knots = ([at[k] for k in order], [least[k] for k in order])
     return model
 
 
@@ -194,7 +240,9 @@ def learn(labelled: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) ->
     Of a text of more than SAMPLE_CHARS characters a piece of that length counts, at a place chosen by its hash.
     """
     some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    counts = {r.y: r.n for r in some.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(500).collect()}
+    counts = {r.y: r.n for r in some.groupBy("y").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"column {label} has more than {MOST_LABELS} labels")
     if not counts:
         return fit([], [])
     # order by a uniform number over the label's share: the first rows are spread evenly; far ones never leave their task
@@ -206,25 +254,26 @@ def learn(labelled: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) ->
     return fit([r.t for r in got], [r.y for r in got])
 
 
-def identify(df: DataFrame, text: str, model: Model, keep: list[Column]) -> DataFrame:
-    """The columns to keep of each row with lang_pred, score and rejected."""
+def identify(df: DataFrame, text: str, model: Model, keep: list[Column], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns to keep of each row, with the predicted language, its score and whether it is rejected under the given names."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = df.select(*keep)
-    names = kept.columns
     # the text goes to the workers once
-    own, more = (text, []) if text in names else ("\x01text", [F.col(text).alias("\x01text")])
+    rows = df.select(*keep, *([] if text in kept.columns else [F.col(f"`{text}`")]))
+    at = f"c{rows.columns.index(text)}"
+    cols = [f"c{i}" for i in range(len(kept.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in slices(batch, own, 1_000_000):
-                lang, score, rejected = m.predict(b.column(own).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+            for b in slices(batch, at, 500_000):
+                lang, score, rejected = m.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*cols, "lang", "score", "rejected"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "lang_pred string, score double, rejected boolean"])
-    return df.select(*keep, *more).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{c} {t}" for c, (_, t) in zip(cols, kept.dtypes)), "lang string, score double, rejected boolean"])
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(run, schema).toDF(*kept.columns, *names)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import BROADCAST_IDS, discard, only, ship, store
+from ripplet.llm.cluster import discard, only, ship, split, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 HASHES, SHINGLE, LEAST, SIMILAR = 4, 5, 50, 0.8
@@ -587,12 +587,9 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
     ship(df.sparkSession)
     cols = df.columns
     spans = store(found.groupBy(F.col(key).alias("\x01id")).agg(F.collect_set(F.struct("start", "stop")).alias("\x01spans")), "spans")
-    ids = spans.select("\x01id")
-    # texts without a passage stay where they are as long as the ids of the others can be sent to them
-    ids = F.broadcast(ids) if spans.count() <= BROADCAST_IDS else ids
-    # a row whose passage is kept nowhere else must not go: passages go only from the larger id to a smaller one
-    clean = df.join(ids, F.col(key) == F.col("\x01id"), "left_anti")
-    both = df.join(ids, F.col(key) == F.col("\x01id"), "left_semi").join(spans, F.col(key) == F.col("\x01id")).drop("\x01id")
+    # texts without a passage stay where they are; passages go only from the larger id to a smaller one, so that each is kept somewhere
+    touched, clean = split(df, key, spans.select("\x01id"))
+    both = touched.join(spans, F.col(key) == F.col("\x01id")).drop("\x01id")
     at = cols.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,3 +53,59 @@ def test_languages_that_were_not_learned_are_rejected():
     _, score, rejected = model.predict(foreign + junk)
     assert score.max() > 0.5 and rejected.all()
     assert model.predict([prose(rng, lang, 8) for lang in ["aa", "bb", "cc"] * 50])[2].sum() <= 3
+
+
+def test_a_language_that_was_left_out_is_rejected_and_the_learned_ones_are_kept():
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist() if r["text"] and r["lang"] and len(r["text"]) >= 100]
+    random.Random(2).shuffle(rows)
+    train, test = rows[:1500], rows[1500:3500]
+    for left in ("de", "en", "es", "fr"):
+        known = [r for r in train if r["lang"] != left]
+        model = langid.fit([r["text"] for r in known], [r["lang"] for r in known])
+        rejected = model.predict([r["text"] for r in test])[2]
+        share = {own: [x for x, r in zip(rejected, test) if (r["lang"] == left) == own] for own in (True, False)}
+        assert sum(share[True]) >= 0.8 * len(share[True]), (left, sum(share[True]), len(share[True]))
+        assert sum(share[False]) <= 0.01 * len(share[False]), (left, sum(share[False]), len(share[False]))
+
+
+def test_junk_is_rejected_and_ties_take_the_smaller_label():
+    rng = random.Random(3)
+    model = langid.fit([prose(rng, lang) for lang in ["aa", "bb", "cc"] * 100], ["aa", "bb", "cc"] * 100)
+    assert model.predict(["qqqqqqqqqqqqqqqqqqqq", "zxzxzxzxzx zxzxzx"])[2].all()
+    even = langid.Model(["b", "c"], langid.np.zeros((langid.BUCKETS, 2), langid.np.float32), langid.np.zeros(2))
+    assert even.predict(["word"])[0] == ["b"]
+
+
+def test_predictions_against_a_plain_loop():
+    rng = random.Random(5)
+    model = langid.fit([prose(rng, lang) for lang in ["aa", "bb", "cc"] * 40], ["aa", "bb", "cc"] * 40)
+    mask = (1 << 32) - 1
+
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = (h * 0x01000193 + (ord(c) + n) * int(langid._MULTIPLIERS[n - 1])) & mask
+        x = ((h ^ (h >> 15)) * 0x2C1B3C6D) & mask
+        return (x ^ (x >> 13)) & (langid.BUCKETS - 1)
+
+    texts = [prose(rng, rng.choice(["aa", "bb", "cc"]), n) for n in (1, 2, 7, 300)] + ["MIXED Ción, 12 kato!"]
+    got = model.predict(texts)
+    for i, t in enumerate(texts):
+        folded = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " "
+        grams = [folded[k : k + n] for n in langid.ORDERS for k in range(len(folded) - n + 1)]
+        z = [sum(float(model.table[bucket(g), j]) for g in grams) / len(grams) + float(model.bias[j]) for j in range(3)]
+        p = langid.np.exp((langid.np.array(z) - max(z)) / model.temperature)
+        p /= p.sum()
+        assert got[0][i] == model.languages[int(p.argmax())] and abs(got[1][i] - p.max()) < 1e-4
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang), lang, "x", "y", "z", "w") for i, lang in enumerate(["aa", "bb"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, rejected string, lang_pred string, c0 string")
+    model = langid.learn(df, "text", "lang")
+    got = langid.identify(df, "text", model, [F.col(c) for c in df.columns], ("p", "q", "r"))
+    assert got.columns == [*df.columns, "p", "q", "r"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == rows

@@ -90,3 +90,24 @@ def test_documents_with_a_similarity_of_four_fifths_are_near_duplicates(spark):
     assert 80 * total <= 100 * common < 85 * total
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, None).collect()} == {1, 3}
+
+
+def test_stages_survive_columns_with_clashing_names(spark, tmp_path):
+    rng = random.Random(3)
+    names = ["score", "rejected", "lang_pred", "n_words", "n_hit", "items", "spans", "row", "start", "stop", "source_start", "id", "key", "kept", "component_id", "n_shingles", "w", "keys", "c0", "ids"]
+    rows = [(i, prose(rng, lang, 80), lang, "s", 0, *names) for i, lang in enumerate(["en", "de"] * 12)]
+    item = prose(rng, "en", 20)
+    rows[3] = (3, rows[3][1] + " " + item, *rows[3][2:])
+    rows[5] = (5, rows[5][1] + " " + rows[1][1], *rows[5][2:])
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.schema.names == docs.schema.names
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = {r.doc_id: r for r in docs.collect()}
+    assert len(left) == 24 and item not in left[3].text and rows[1][1] not in left[5].text
+    assert all(tuple(r)[5:] == tuple(names) for r in left.values()) and out.count() == 24
