@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ripplet.llm.cluster import ship, store
+from ripplet.llm.cluster import in_arrow, ship, store
 
 CHUNK, OVERLAP = 40_000, 2_000
 #: Characters that the pre-tokeniser may look ahead of a boundary (a contraction has three).
@@ -73,7 +73,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, pattern: str, ch
             ids = pa.array((c.encode_to_numpy(t.as_py(), disallowed_special=()).astype("<u4").tobytes() for t in b.column("text")), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("key"), ids], ["key", "ids"])
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, f"key {kind}, ids binary")
+    short = rows.where(F.length("text") <= chunk).transform(in_arrow, whole, f"key {kind}, ids binary")
 
     # a long text, once for all rows that repeat it: spread by its hash, cut into overlapping chunks
     long = rows.where(F.length("text") > chunk).withColumn("sha", F.sha1("text"))
@@ -92,7 +92,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, pattern: str, ch
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, kind), pa.array(tails, kind)], [*b.schema.names, "head", "tail"])
 
-    cut = chunks.repartition("sha", "start").mapInArrow(split, "sha string, size int, start int, text string, head array<int>, tail array<int>")
+    cut = chunks.repartition("sha", "start").transform(in_arrow, split, "sha string, size int, start int, text string, head array<int>, tail array<int>")
     w, every = Window.partitionBy("sha").orderBy("start"), Window.partitionBy("sha")
     stitched = (
         cut.withColumn("stop", F.array_min(F.array_intersect("tail", F.lead("head").over(w))))
@@ -105,7 +105,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, pattern: str, ch
     stitched = store(stitched, "bpe-pieces")
     pieces = stitched.where("joined").select(F.struct("sha", "start").alias("key"), "text")
     unjoined = texts.join(stitched.where("not joined").select("sha").distinct(), "sha", "left_semi").select(F.struct("sha", F.lit(0).alias("start")).alias("key"), "text")
-    parts = pieces.unionByName(unjoined).mapInArrow(whole, "key struct<sha:string,start:int>, ids binary")
+    parts = pieces.unionByName(unjoined).transform(in_arrow, whole, "key struct<sha:string,start:int>, ids binary")
     merged = parts.groupBy("key.sha").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key.start", F.hex("ids").alias("ids")))), lambda x: x.ids), "").alias("ids"))
     done = keys.join(merged, "sha").select("key", F.unhex("ids").alias("ids"))
     return short.unionByName(done).withColumnRenamed("key", key)
@@ -122,7 +122,7 @@ def decode_ids(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> Da
             out = pa.array((c.decode_bytes(memoryview(x.as_py() or b"").cast("I").tolist()) for x in b.column("ids")), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("key"), out], [key, "bytes"])
 
-    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, bytes binary")
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).transform(in_arrow, run, f"`{key}` {kind}, bytes binary")
 
 
 def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
@@ -142,7 +142,7 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str, chun
                 d.append(hashlib.sha256(c.decode_bytes(list(ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([b.column("ids")] * keep_ids)], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    return encoded.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return encoded.transform(in_arrow, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,30 @@ def ship(spark: SparkSession) -> None:
     sc._ripplet_shipped = True
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which its worker gives back the memory that it no longer uses: workers go on to other tasks and stages."""
+
+    def body(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return body
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), for use with DataFrame.transform."""
+    return df.mapInArrow(lean(run), schema)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for `name` below spark.checkpoint.dir; where that is unset, as in tests, below a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

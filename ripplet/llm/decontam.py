@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship, split, store
+from ripplet.llm.cluster import in_arrow, ship, split, store
 from ripplet.llm.lexing import NOT_WORD, U, Words, slices, texts
 
 WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS = 13, 2_000_000, 8, 400_000
@@ -275,7 +275,7 @@ def _search(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_te
                     w = words(b)
                     yield result(b, w, *find(w, shared.value))
 
-        return rows.mapInArrow(once, schema)
+        return rows.transform(in_arrow, once, schema)
     rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     parts = []
     while shared:
@@ -289,7 +289,7 @@ def _search(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_te
                     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "ends", "items"])
 
-        parts.append(store(rows.select(t, "row").mapInArrow(hits, "row long, ends array<long>, items array<string>"), "block-hits"))
+        parts.append(store(rows.select(t, "row").transform(in_arrow, hits, "row long, ends array<long>, items array<string>"), "block-hits"))
         shared.destroy()
         shared, following = spark.sparkContext.broadcast(following) if following else None, next(blocks, None)
     found = parts[0]
@@ -308,7 +308,7 @@ def _search(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_te
                 yield result(b, w, np.cumsum(edge[:-1]) > 0, [set(x or []) for x in b.column("items").to_pylist()])
 
     nothing = clean.selectExpr("*", "cast(null as array<long>) as ends", "cast(null as array<string>) as items")
-    return touched.join(found, "row").select(nothing.columns).unionByName(nothing).mapInArrow(merge, schema)
+    return touched.join(found, "row").select(nothing.columns).unionByName(nothing).transform(in_arrow, merge, schema)
 
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,stop:int>>"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import components, discard, ship, store
+from ripplet.llm.cluster import components, discard, in_arrow, ship, store
 
 BLOCK, MISS, BUCKET = 512, 1e-4, 128
 
@@ -91,7 +91,7 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
                     ["class", "n", "least", "v", "sig"],
                 )
 
-    signed = store(classes.mapInArrow(sign, "class string, n long, least long, v binary, sig array<long>").withColumn("cid", F.xxhash64("class")), "signed")
+    signed = store(classes.transform(in_arrow, sign, "class string, n long, least long, v binary, sig array<long>").withColumn("cid", F.xxhash64("class")), "signed")
     entries = signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least")
     sizes = entries.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = (
@@ -148,7 +148,7 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
     found = store(
-        placed.repartition("t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j").mapInArrow(compare, "cid long, links long, a long, b array<long>"), "links"
+        placed.repartition("t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j").transform(in_arrow, compare, "cid long, links long, a long, b array<long>"), "links"
     )
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found.select("a", F.explode("b").alias("b")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship, store
+from ripplet.llm.cluster import in_arrow, ship, store
 
 #: Hosts whose winners may be broadcast; beyond that they are joined by host.
 BROADCAST_HOSTS = 20_000
@@ -223,7 +223,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path, votes): the winning container path of each host."""
     ship(pages.sparkSession)
-    votes = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(_vote, "host string, path string, size long").where("path is not null")
+    votes = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).transform(in_arrow, _vote, "host string, path string, size long").where("path is not null")
     sums = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("size").alias("size"))
     best = sums.groupBy("host").agg(F.min_by(F.struct("path", "votes"), F.struct(-F.col("votes"), -F.col("size"), "path")).alias("w"))
     return best.select("host", "w.path", "w.votes")
@@ -243,7 +243,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             out = [parse(h.as_py()).text(p.as_py()) for h, p in zip(b.column("html"), b.column("path"))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [key, "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, url string, text string, n_chars long")
+    return rows.transform(in_arrow, run, f"`{key}` {kind}, url string, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

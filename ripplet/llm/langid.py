@@ -5,7 +5,7 @@ A text becomes its letters, lower-cased, with every run of other characters as o
 Embedding and softmax are trained together by stochastic gradient descent in numpy on pieces of labelled texts. Then
 a temperature and rejection thresholds are fitted on documents that training held back: `score` is the calibrated
 probability of the predicted language, and a document is rejected if its score is below what all but REJECT of the
-held-back documents and of pieces of them reach, less SLACK of what that is below their median (in log odds). A softmax is sure of texts that are like nothing it knows, so that a second
+held-back documents and of pieces of them reach, less SLACK of what that is below their median (in log odds; more where few rows are held back). A softmax is sure of texts that are like nothing it knows, so that a second
 measure is calibrated too: the mean log frequency of a text's 3- and 4-grams in the predicted language. A document is
 rejected if that is below the least of held-back pieces of its length, less SLACK of what these are below their median, and
 below their median by MARGIN (so that texts partly in another language stay).
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship
+from ripplet.llm.cluster import in_arrow, ship
 from ripplet.llm.lexing import slices
 
 TRAIN_ROWS, SAMPLE_CHARS, PIECE, BUCKETS, DIM, EPOCHS, RATE, REJECT, SLACK, MARGIN, MOST_LABELS = 4000, 8000, 400, 1 << 16, 16, 3, 0.5, 0.001, 0.15, 4.0, 500
@@ -155,12 +155,15 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.Generator(np.random.PCG64(seed))
     part = rng.permutation(len(texts))
-    held, train = part[: len(part) // 10], part[len(part) // 10 :]
+    part = np.split(part, [max(len(part) // 10, min(20, len(part) // 3))])
+    held, train = part
+    slack = SLACK * max(1.0, (TRAIN_ROWS / 10 / max(1, len(held))) ** 0.5)  # few held-back rows show less of what there is
     pieces, target = [], []
     for i in train:
+        own = languages.index(labels[i])
         for k in range(0, max(1, len(texts[i])), PIECE):
-            pieces.append(texts[i][k : k + PIECE])
-            target.append(languages.index(labels[i]))
+            pieces.append((i, k))
+            target.append(own)
     # every language weighs the same, and no more pieces are drawn than the rare ones can balance
     target = np.array(target)
     per = min(2000, max(500, int(np.bincount(target, minlength=len(languages)).min())))
@@ -169,8 +172,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     soft, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     features = []
     for i in chosen:
-        cp, _, _ = letters([pieces[i]])
-        features.append(np.concatenate([b for _, b in subwords(cp)]))
+        row, k = pieces[i]
+        cp, _, _ = letters([texts[row][k : k + PIECE]])
+        features.append(np.concatenate([b for _, b in subwords(cp)]).astype(np.uint16))
+    del pieces
     batch = 16
     for epoch in range(EPOCHS):
         order = rng.permutation(len(chosen))
@@ -212,7 +217,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             # by log odds, as few held-back rows say little about so small a share
             odds = np.log(np.maximum(top, 1e-12)) - np.log(np.maximum(1 - top, 1e-12))
             low = np.quantile(odds, REJECT)
-            model.least = float(1 / (1 + np.exp(-(low - SLACK * (np.median(odds) - low)))))
+            model.least = float(1 / (1 + np.exp(-(low - slack * (np.median(odds) - low)))))
             counts = np.full((BUCKETS, len(languages)), 0.1)
             for i in train:
                 cp, _, _ = letters([texts[i]])
@@ -228,7 +233,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> Model:
                 f = model.familiar(cut, z.argmax(axis=1))[some]
                 if len(f):
                     at.append(float(np.log(np.median(has[some]))))
-                    least.append(float(min(f.min() - SLACK * (np.median(f) - f.min()), np.median(f) - MARGIN)))
+                    least.append(float(min(f.min() - slack * (np.median(f) - f.min()), np.median(f) - MARGIN)))
             order = np.argsort(at, kind="stable")
             model.knots = ([at[k] for k in order], [least[k] for k in order])
     return model
@@ -251,7 +256,9 @@ def learn(labelled: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) ->
     start = F.pmod(F.xxhash64("t", F.lit(6)), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     near = some.withColumn("p", place).where(F.col("p") < 4.0 * rows / len(counts))
     got = near.select("p", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t"), "y").orderBy("p", "t", "y").limit(rows).collect()
-    return fit([r.t for r in got], [r.y for r in got])
+    texts, labels = [r.t for r in got], [r.y for r in got]
+    del got
+    return fit(texts, labels)
 
 
 def identify(df: DataFrame, text: str, model: Model, keep: list[Column], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -273,7 +280,7 @@ def identify(df: DataFrame, text: str, model: Model, keep: list[Column], names:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*cols, "lang", "score", "rejected"])
 
     schema = ", ".join([*(f"{c} {t}" for c, (_, t) in zip(cols, kept.dtypes)), "lang string, score double, rejected boolean"])
-    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(run, schema).toDF(*kept.columns, *names)
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).transform(in_arrow, run, schema).toDF(*kept.columns, *names)
 
 
 def held_out(key: str = "doc_id") -> Column:

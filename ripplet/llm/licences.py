@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship, store
+from ripplet.llm.cluster import in_arrow, ship, store
 from ripplet.llm.licence_texts import TEXTS
 from ripplet.llm.lexing import NOT_WORD, U, Words, mix, slices, texts
 
@@ -197,10 +197,10 @@ def scan_licences(df: DataFrame, key: str, path: str | Column, text: str, templa
     p = F.col(path) if isinstance(path, str) else path
     rows = df.select(F.col(key).alias("key"), F.coalesce(p, F.lit("")).alias("path"), F.col(text).alias("text"))
     rows = rows.select("key", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE).alias("file"), "text")
-    counted = rows.select("text").mapInArrow(_frequencies(t), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most a row a template term
+    counted = rows.select("text").transform(in_arrow, _frequencies(t), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most a row a template term
     t.weigh(rows.count(), {r.term: r.n for r in counted})
     kind = df.schema[key].dataType.simpleString()
-    scanned = store(rows.mapInArrow(_scan(t, least), f"key {kind}, path string, dir string, file boolean, own string, cosine double"), "licences")
+    scanned = store(rows.transform(in_arrow, _scan(t, least), f"key {kind}, path string, dir string, file boolean, own string, cosine double"), "licences")
     licensed = scanned.where("file and own is not null").groupBy("dir").agg(F.min_by("own", F.struct(-F.col("cosine"), "own")).alias("inherited")).withColumnRenamed("dir", "license_dir")
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

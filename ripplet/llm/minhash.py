@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import components, discard, only, ship, store
+from ripplet.llm.cluster import components, discard, in_arrow, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 BANDS, ROWS, SKETCH_BITS = 25, 5, 256
@@ -110,7 +110,7 @@ def apart(a: str, b: str):
 def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, common, total) of the pairs (a, b): the sizes of the intersection and of the union of their full sets."""
     ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
-    full = only(rows, ids).dropDuplicates(["id", "text"]).mapInArrow(_shingle_rows, "id long, sh binary")
+    full = only(rows, ids).dropDuplicates(["id", "text"]).transform(in_arrow, _shingle_rows, "id long, sh binary")
     full = store(full, "full-sets")
     both = pairs.select("a", "b").join(full.withColumnRenamed("id", "b").withColumnRenamed("sh", "y"), "b").join(full.withColumnRenamed("id", "a").withColumnRenamed("sh", "x"), "a")
 
@@ -124,7 +124,7 @@ def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 total.append(len(p) + len(q) - common[-1])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    out = store(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, total long"), "compared")
+    out = store(both.select("a", "b", "x", "y").transform(in_arrow, run, "a long, b long, common long, total long"), "compared")
     discard(full, ids)
     return out
 
@@ -135,7 +135,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     ship(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     docs = rows.where("id is not null")
-    signed = store(rows.mapInArrow(sign, SIGNED), "signed")
+    signed = store(rows.transform(in_arrow, sign, SIGNED), "signed")
     some = signed.where("set_hash is not null and id is not null")
     classes = store(some.groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
     # rows of a representative's id that have another set stay in: an id is one vertex

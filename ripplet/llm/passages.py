@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import discard, only, ship, split, store
+from ripplet.llm.cluster import discard, in_arrow, only, ship, split, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
 HASHES, SHINGLE, LEAST, SIMILAR = 4, 5, 50, 0.8
@@ -232,7 +232,7 @@ def _stars(keys: DataFrame, name: str) -> DataFrame:
     one row a key on its other side and so can be split where it is skewed.
     """
     place = F.when(F.col("local"), F.xxhash64("id")).otherwise(F.col("key"))
-    met = keys.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("key", "id").mapInArrow(_centred, KEYS)
+    met = keys.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("key", "id").transform(in_arrow, _centred, KEYS)
     met = store(met, name)
     hot = met.where("local").select("key", "id")
     if hot.isEmpty():
@@ -546,7 +546,7 @@ def _confirm(pairs: DataFrame, word: DataFrame, span: int, similar: float) -> Da
     """The passages of the pairs (id, source)."""
     # by source first: the comparison then runs where the ids are, and a source of many documents is no hot task
     both = pairs.select("id", "source").join(word.select(F.col("id").alias("source"), F.col("w").alias("y")), "source").join(word.withColumnRenamed("w", "x"), "id")
-    return store(both.select("id", "source", "x", "y").mapInArrow(_compare(span, similar), FOUND).distinct(), "passages")
+    return store(both.select("id", "source", "x", "y").transform(in_arrow, _compare(span, similar), FOUND).distinct(), "passages")
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
@@ -555,22 +555,22 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
     ship(spark)
     span = max(1, least - SHINGLE + 1)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    shared = _stars(rows.mapInArrow(_signatures(span), KEYS), "signatures")
+    shared = _stars(rows.transform(in_arrow, _signatures(span), KEYS), "signatures")
     pairs = store(shared.where("id <> source").select("id", "source").distinct(), "passage-pairs")
     ids = store(shared.select("id").distinct(), "passage-ids")
-    word = store(only(rows, ids).mapInArrow(_words, "id long, w binary"), "passage-words")
+    word = store(only(rows, ids).transform(in_arrow, _words, "id long, w binary"), "passage-words")
     found = _confirm(pairs, word, span, similar)
     # what is still open: windows that share all their keys but lie in no passage, and keys of which no minimum does
     spans = found.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     # a document that is the smallest of a key has no smaller one with the same window
     listed = shared.where("id <> source").groupBy("id").agg(F.collect_set("key").alias("keys")).join(spans, "id", "left")
     listed = listed.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,stop:long>>)")))
-    left = store(word.join(listed, "id").mapInArrow(_open(span), "key long, id long, exact boolean").distinct(), "open-keys")
+    left = store(word.join(listed, "id").transform(in_arrow, _open(span), "key long, id long, exact boolean").distinct(), "open-keys")
     # a star with the smallest id of those that are still open
     again = _stars(left.where("not exact").select("key", "id", F.lit(None).cast("long").alias("source"), F.lit(False).alias("local")), "open-stars")
     # and one with the smallest id of those that have the very same window
     exact = shared.join(left.where("exact").select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    same = _stars(word.join(exact, "id").mapInArrow(_whole_windows(span), KEYS), "same-windows")
+    same = _stars(word.join(exact, "id").transform(in_arrow, _whole_windows(span), KEYS), "same-windows")
     more = again.unionByName(same).where("id <> source").select("id", "source").distinct().join(pairs, ["id", "source"], "left_anti")
     more = store(more, "open-pairs")
     if not more.isEmpty():
@@ -603,7 +603,7 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
             arrays[at] = pa.array(out, b.schema.field(text).type)
             yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
 
-    return clean.select(*cols).unionByName(both.mapInArrow(run, df.schema))
+    return clean.select(*cols).unionByName(both.transform(in_arrow, run, df.schema))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

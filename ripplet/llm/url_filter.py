@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import ship
+from ripplet.llm.cluster import in_arrow, ship
 
 U = np.uint64
 SPLIT = 0xFF
@@ -172,7 +172,7 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], default: st
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(url).alias("url")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
+    return df.select(F.col(key).alias("key"), F.col(url).alias("url")).transform(in_arrow, run, f"`{key}` {kind}, {SCHEMA}")
 
 
 RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import shared_dir, ship, store
+from ripplet.llm.cluster import in_arrow, shared_dir, ship, store
 
 SKIPPABLE = 0x184D2A5D
 #: Bytes of payload in one archive; bytes of records that train its dictionary; bytes of that dictionary.
@@ -139,7 +139,7 @@ def write_warc(pages: DataFrame, out_dir: str, key: str = "page_id", url: str =
         if held:
             yield flush()
 
-    return store(planned.mapInArrow(run, "path string, records long, bytes long"), "warc-list")
+    return store(planned.transform(in_arrow, run, "path string, records long, bytes long"), "warc-list")
 
 
 READ = "page_id long, target string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
@@ -165,7 +165,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
     # a list of paths is tiny: spread it, a file or a few a task
     n = max(1, min(archives.count(), 100_000))
-    return archives.select("path").repartitionByRange(n, "path").mapInArrow(run, READ)
+    return archives.select("path").repartitionByRange(n, "path").transform(in_arrow, run, READ)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
