@@ -3,7 +3,8 @@
 Writing: rows with equal payloads (SHA-1) are written once; the one with the largest id is a `response`, the others are
 `revisit` records without payload that refer to it (payloads shorter than `least` are always responses). Each task
 writes files of a bounded size under names that no retry repeats, and only the files that a finished task lists are
-read, so that a lost executor leaves at most orphans. Each file's dictionary is trained on an even spread of its own records.
+read, so that a lost executor leaves at most orphans. Each file has a dictionary, trained on pieces that are spread evenly
+over all bytes of its own records; the file's records are held until it is written.
 
 Defined cases: null payload: empty. Null url: `urn:page:<id>` as target. Rows that repeat id and payload are all
 responses when theirs is the largest id. Null ids never count as largest; a group of only null ids is all responses.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from ripplet.llm.cluster import in_arrow, shared_dir, ship, store
 
 SKIPPABLE = 0x184D2A5D
-#: Bytes of payload in one archive; bytes of records that train its dictionary; bytes of that dictionary.
-FILE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 24_000_000, 1_600_000, 16_384
+#: Bytes of payload in one archive; bytes of records that train its dictionary, and of one piece of them; bytes of that dictionary.
+FILE_BYTES, SAMPLE_BYTES, PIECE_BYTES, DICTIONARY_BYTES = 24_000_000, 1_600_000, 4096, 16_384
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -44,27 +46,31 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
 
 
 def train(records: list[bytes]):
-    """A dictionary from an even spread of at most SAMPLE_BYTES of the records; None if there is too little to learn from."""
+    """A dictionary from pieces of the records, spread evenly over all their bytes; of what is too little to train on, its beginning."""
     import zstandard
 
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    sample = [r[:100_000] for r in records[::step]]
-    if len(sample) < 8:
-        return None
+    size = max(64, min(PIECE_BYTES, total // 16))
+    step = size * max(1, -(-total // SAMPLE_BYTES))
+    sample, at = [], 0  # at: the next piece, from the start of the record
+    for r in records:
+        while at < len(r):
+            sample.append(r[at : at + size])
+            at += step
+        at -= len(r)
+    most = min(DICTIONARY_BYTES, max(256, total // 8))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8)
+        return zstandard.train_dictionary(most, sample, k=200, d=8)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(sample)[:most], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def pack(records: list[bytes]) -> bytes:
-    """An archive: the skippable frame with the dictionary, if any, then every record as a frame of its own."""
+    """An archive: the skippable frame with the dictionary, then every record as a frame of its own."""
     import zstandard
 
     d = train(records)
-    c = zstandard.ZstdCompressor(level=3, dict_data=d) if d else zstandard.ZstdCompressor(level=3)
-    raw = d.as_bytes() if d else b""
+    c, raw = zstandard.ZstdCompressor(level=3, dict_data=d), d.as_bytes()
     return b"".join([SKIPPABLE.to_bytes(4, "little"), len(raw).to_bytes(4, "little"), raw, *map(c.compress, records)])
 
 
@@ -100,7 +106,8 @@ def _open(path: str, mode: str):
     """A file of the shared folder, wherever that is."""
     from pyarrow import fs
 
-    where, p = fs.FileSystem.from_uri(path)
+    # the names that Hadoop and pyarrow give to the same stores differ
+    where, p = fs.FileSystem.from_uri(re.sub(r"^dbfs:/+", "file:///dbfs/", re.sub(r"^s3[an]://", "s3://", path)))
     if mode == "r":
         return where.open_input_stream(p)
     where.create_dir(p.rpartition("/")[0], recursive=True)

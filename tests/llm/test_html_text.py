@@ -48,3 +48,28 @@ def test_whole_table_against_its_articles(spark):
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b)))).strip() for b in re.split(r"</?(?:h1|p)>", inner)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+ARTICLE = "<p>" + "The first paragraph says a good deal. " * 5 + "</p><p>" + "The second one goes on about it. " * 5 + "</p>"
+TEXT = "\n".join([("The first paragraph says a good deal. " * 5).strip(), ("The second one goes on about it. " * 5).strip()])
+
+
+def test_names_that_only_mention_other_things_drop_no_article():
+    for wrap in ('<div class="content-sidebar-wrap">{}</div>', '<div class="no-sidebar">{}</div>', '<div id=wrap class="with-navbar"><article>{}</article></div>', '<div class="has-comments sidebar-layout">{}</div>', '<div class="acme-menu-theme"><main>{}</main></div>', '<form id="aspnetForm">{}</form>', '<div class="sidebar-layout"><article>{}</article></div>', '<div class="sidebar"><article>{}</article></div>'):
+        page = f'<body><div class="topbar">Top things</div>{wrap.format(ARTICLE)}<div class="site-footer">Foot</div></body>'
+        assert text(page) == TEXT, wrap
+    assert text(f'<article><h1>Cars</h1><section class="market-share"><h2>Share</h2>{ARTICLE}</section><div class="acme-share"><a href=x>Share this</a></div></article>') == "Cars\nShare\n" + TEXT
+    assert text(f'<article>{ARTICLE}<div id="comments"><article class="comment"><p>{"I say so too. " * 90}</p></article></div></article>') == TEXT
+    assert text(f'<div class="story">{ARTICLE}</div><div id="comments"><article class="comment"><p>I say so too.</p></article></div>') == TEXT
+
+
+def test_elements_that_end_at_once_or_never_take_no_article():
+    for inner in ('<svg class="i"/>', '<svg class="i" viewBox="0 0 1 1" />', '<math/>', '<svg class="i">', "<noscript>", "<object data=x>", '<svg><path d="M0"/></svg>', "<select><option>no</select>"):
+        assert text(f"<h1>T</h1>{inner}{ARTICLE}") == "T\n" + TEXT, inner
+    assert text(f"<h1>T</h1><script>var x = '</p>'; {ARTICLE}") == "T"
+
+
+def test_repeated_rows_and_other_columns(spark):
+    rows = [(1, "http://a/", f"<article>{ARTICLE}</article>", "x", "y", "z")] * 3 + [(None, None, None, None, None, None), (2, "http://a/", "<p>" + "long " * 400_000 + "</p>", "x", "y", "z")]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, path string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, len(TEXT)), (1, len(TEXT)), (1, len(TEXT)), (2, 400_000 * 5 - 1)]

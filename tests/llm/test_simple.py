@@ -1,5 +1,6 @@
 import fnmatch
 import hashlib
+import base64
 import random
 import re
 
@@ -98,3 +99,51 @@ def test_embeddings_with_odd_rows(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.link(df, "vec_id", "embedding").collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)} | {i: (0, i, True) for i in range(4, 12)}
     assert embed_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
+
+
+def frames(data):
+    """(dictionary, sizes of the frames after it, their contents) of an archive, by the library's frame readers."""
+    import zstandard
+
+    assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+    size = int.from_bytes(data[4:8], "little")
+    raw, rest, sizes, records = data[8 : 8 + size], data[8 + size :], [], []
+    while rest:
+        o = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)).decompressobj()
+        records.append(o.decompress(rest))
+        sizes.append(len(rest) - len(o.unused_data))
+        rest = o.unused_data
+    return raw, sizes, records
+
+
+@pytest.mark.parametrize("pages,size", [(1, 10), (3, 400), (40, 2_000), (30, 250_000), (3, 3_000_000)])
+def test_every_archive_begins_with_a_dictionary_that_helps_and_has_a_frame_a_record(pages, size):
+    import zstandard
+
+    rng = random.Random(pages)
+    words = [f"<p class='c{i}'>" + "".join(rng.choice("abcdefgh ") for _ in range(40)) + "</p>" for i in range(300)]
+    records = [warc.record(i, f"http://h/{i}", "".join(rng.choice(words) for _ in range(1 + size // 50)).encode()[:size], "X", None) for i in range(pages)]
+    raw, sizes, got = frames(warc.pack(records))
+    assert got == records and len(sizes) == pages and raw
+    if pages > 3:
+        assert len(raw) > 1000 and zstandard.ZstdCompressionDict(raw).dict_id()
+        plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
+        assert sum(sizes) < plain
+
+
+def test_warc_with_large_pages_several_archives_a_task_and_clashing_names(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 700_000)
+    rows = [(i, f"http://h/{i}", f"{i % 5} " * 150_000, "x", "y", "z", "w") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, id string, payload string, sha string, refers string").coalesce(1)
+    listed = warc.write_warc(df, shared_dir(spark, "t"))
+    assert listed.count() > 1 and listed.selectExpr("sum(records)").first()[0] == 9
+    for r in listed.collect():
+        raw, sizes, _ = frames(open(r.path.removeprefix("file://"), "rb").read())
+        assert raw and len(sizes) == r.records
+    got = {r.page_id: r for r in warc.read_warc(listed).collect()}
+    for i, _, h, *_ in rows:
+        top = max(j for j, _, x, *_ in rows if x == h)
+        assert (got[i].payload_bytes, got[i].refers_to) == (len(h), None if i == top else top)
+        assert base64.b32decode(got[i].payload_digest) == hashlib.sha1(h.encode()).digest()
