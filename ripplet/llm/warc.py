@@ -109,9 +109,9 @@ def _open(path: str, mode: str):
     # the names that Hadoop and pyarrow give to the same stores differ
     where, p = fs.FileSystem.from_uri(re.sub(r"^dbfs:/+", "file:///dbfs/", re.sub(r"^s3[an]://", "s3://", path)))
     if mode == "r":
-        return where.open_input_stream(p)
+        return where.open_input_stream(p, compression=None)
     where.create_dir(p.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(p)
+    return where.open_output_stream(p, compression=None)  # else the name's ending has it compressed once more
 
 
 def write_warc(pages: DataFrame, out_dir: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:

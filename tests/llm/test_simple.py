@@ -1,6 +1,6 @@
+import base64
 import fnmatch
 import hashlib
-import base64
 import random
 import re
 
