@@ -173,7 +173,7 @@ def cost(spark, sf):
 
 # misses: events stand for the cases of a full run, its re-run and the pull requests' receipts
 _FULL = "full_run as (select event_id as id, concat('f', cast(user_id as varchar(20))) as file, event_type in ('error', 'click') as failed, event_id % 31 = 0 as suite_level from events)"
-_PULL = "pulls as (select user_id as number, case user_id % 4 when 0 then 'full' when 1 then 'selected' when 2 then 'selected' else null end as selection, user_id % 4 = 1 as says, user_id as u from (select distinct user_id from events where user_id < 40 and user_id % 4 <> 2))"
+_PULL = "pulls as (select user_id as number, case user_id % 4 when 0 then 'full' when 1 then 'selected' when 2 then 'selected' else null end as selection, user_id % 4 = 1 as says, user_id as u from (select distinct user_id from events))"
 
 
 @R.add(
@@ -186,7 +186,7 @@ def misses(spark, sf):
     e = table(spark, sf, "events")
     full = e.select(F.col("event_id").alias("id"), F.expr("concat('f', cast(user_id as string))").alias("file"), F.expr("event_type in ('error', 'click')").alias("failed"), F.expr("event_id % 31 = 0").alias("suite_level"))
     rerun = full.where("id % 10 < 2").select("id", F.expr("id % 10 = 0").alias("failed"), F.lit(False).alias("skipped"))
-    pulls = e.where("user_id < 40 and user_id % 4 <> 2").select(F.col("user_id").alias("number")).distinct()
+    pulls = e.select(F.col("user_id").alias("number")).distinct()
     pulls = pulls.withColumn("selection", F.expr("case number % 4 when 0 then 'full' when 1 then 'selected' end"))
     files = F.expr("case when number % 4 = 1 then transform(filter(sequence(0, 199), n -> n % (number % 7 + 2) <> 0), n -> concat('f', cast(n as string))) end")
     return vd.classify_failures(full, rerun, full.where("id % 10 = 2").select("id"), pulls.withColumn("files", files))
@@ -274,12 +274,12 @@ def assess(spark, sf):
 
 @R.add(
     "economics_gate",
-    """with s as (select user_id as job, event_id as head, value * 10 as f, value * case when user_id % 2 = 0 then 9.9 else 4 end as p, value * 30 + 100 as o, value > 1 as ok from events where event_id % 3 = 0),
+    """with s as (select user_id as job, event_id as head, value * 10 as f, value * case when user_id % 2 = 0 then 9.9 else 4 end as p, value * 30 + 100 as o, value > 1 as ok from events),
     g as (select job, count(*) between 5 and 100 and bool_and(ok and f > 0 and p > 0 and o > 0) and count(distinct head) >= 5 as usable, greatest(0, max(f - p)) as saved, min(o) as obs from s group by job)
     select job, case when usable and saved * 1.25 + 250 < obs then 'BYPASS_FULL' else 'ANALYZE' end as decision, case when usable then round(saved, 6) end as saved_ms, case when usable then round(obs, 6) end as observer_ms from g""",
 )
 def economics(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     x = vd.economics(e.select(F.col("user_id").alias("job"), F.col("event_id").alias("head_sha"), F.expr("value * 10").alias("full_ms"), F.expr("value * case when user_id % 2 = 0 then 9.9 else 4 end").alias("policy_ms"), F.expr("value * 30 + 100").alias("observer_ms"), F.expr("value > 1").alias("stable")))
     return x.select("job", "decision", F.round("saved_ms", 6).alias("saved_ms"), F.round("observer_ms", 6).alias("observer_ms"))
 
@@ -290,9 +290,9 @@ def enforce(spark, sf):
     return vd.enforce(e.select(F.col("event_id").alias("observation"), *(F.expr(f"case when {'event_id % 67 = 5' if i == 3 else 'false'} then null else event_id % {i + 11} = {i} end").alias(s) for i, s in enumerate(vd.ENFORCE_STEPS))))
 
 
-@R.add("spec_conflicts", "select target, array_to_string(list_sort(list(distinct s)), ',') as specs from (select lower(trim(p_name)) as target, p_brand as s from part where p_partkey % 3 = 0) group by target having count(distinct s) > 1")
+@R.add("spec_conflicts", "select target, array_to_string(list_sort(list(distinct s)), ',') as specs from (select lower(trim(p_name)) as target, p_brand as s from part) group by target having count(distinct s) > 1")
 def specs(spark, sf):
-    x = vd.spec_conflicts(table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit(" "), F.upper("p_name")).alias("target"), F.col("p_brand").alias("spec")))
+    x = vd.spec_conflicts(table(spark, sf, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("target"), F.col("p_brand").alias("spec")))
     return x.select("target", F.array_join("specs", ",").alias("specs"))
 
 
