@@ -1,10 +1,12 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
 Identical vectors form one class, of which one row stands for all; every class enters each table under its signature of
-`bits` signs. A bucket is cut into blocks of at most BLOCK rows, and each pair of blocks is one unit of work: the exact
-cosines, in double precision, of all its pairs. A pair counts in the first table where its signatures agree, so that no
-pair is ever written or counted twice; a unit returns, a row, the number of its links, and a spanning forest of its
-links for the components: never more rows than vectors.
+`bits` signs. A bucket is cut into blocks of about BLOCK rows, and each pair of blocks is one unit of work: the cosines of
+all its pairs. What is shuffled to the tables are vectors rounded to 16 bits a component, with a bound of the error: a pair
+whose cosine is nearer to the threshold than that bound is judged by the exact cosine of both whole vectors, in double
+precision, that are fetched for it. A pair counts in the first table where its signatures agree, so that no
+pair is ever counted twice; a unit returns, a row, the number of its links, a spanning forest of its
+links for the components, and the pairs that are too near to tell.
 
 `tables` is chosen so that a pair at the threshold is missed with a chance of at most MISS; `bits` grows with the
 logarithm of the number of rows, so that buckets of unlike vectors keep their size (both: see `plan`).
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ripplet.llm.cluster import components, discard, in_arrow, ship, store
 
-BLOCK, MISS, BUCKET = 512, 1e-4, 128
+BLOCK, MISS, BUCKET = 2048, 1e-4, 1024
 
 
 def plan(rows: int, threshold: float) -> tuple[int, int]:
@@ -72,9 +74,11 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.sha1(F.to_json(F.struct("v")))))
     rows = store(rows.select("id", "class", "v"), "vectors")
     sized = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("v").alias("v"))
-    classes = store(sized.where("least is not null or n > 0"), "classes")
+    classes = store(sized, "classes")
     total = classes.count()
     bits, tables = plan(total, threshold)
+    kind = np.int16 if bits < 16 else np.int32 if bits < 32 else np.int64
+    width = np.dtype(kind).itemsize
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,22 +88,26 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
                 x = np.asarray(part.column("v").flatten(), np.float64).reshape(-1, dim)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                # signatures, one column a table: the sign bits; vectors of other lengths get other ones
-                sig = np.stack([((x @ planes(t, bits, dim)) > 0) @ (np.int64(1) << np.arange(bits)) for t in range(tables)], axis=1) * 4096 + dim % 4096
+                # signatures, one column a table: the sign bits
+                sig = np.stack([((x @ planes(t, bits, dim)) > 0) @ (np.int64(1) << np.arange(bits)) for t in range(tables)], axis=1)
+                scale = np.abs(x).max(axis=1) / 32767
+                short = np.rint(x / scale[:, None]).astype(np.int16)
+                raw = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("n"), part.column("least"), pa.array([r.tobytes() for r in x], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel(), pa.int64()), tables).cast(pa.list_(pa.int64()))],
-                    ["class", "n", "least", "v", "sig"],
+                    # vectors of other lengths get other buckets
+                    [part.column("class"), part.column("n"), part.column("least"), raw(x), raw(short), pa.array(scale), raw(sig.astype(kind)), pa.FixedSizeListArray.from_arrays(pa.array((sig * 4096 + dim % 4096).ravel(), pa.int64()), tables).cast(pa.list_(pa.int64()))],
+                    ["class", "n", "least", "v", "short", "scale", "packed", "sig"],
                 )
 
-    signed = store(classes.transform(in_arrow, sign, "class string, n long, least long, v binary, sig array<long>").withColumn("cid", F.xxhash64("class")), "signed")
+    signed = store(classes.transform(in_arrow, sign, "class string, n long, least long, v binary, short binary, scale double, packed binary, sig array<long>").withColumn("cid", F.xxhash64("class")), "signed")
     entries = signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least")
     sizes = entries.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = (
-        signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least", "v", "sig")
+        signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least", "short", "scale", "packed")
         .join(sizes, ["t", "s"])
         .withColumn("mine", F.pmod(F.xxhash64("cid", "t"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "least", "v", F.slice("sig", F.lit(1), F.col("t")).alias("before"))
+        .select("t", "s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "least", "short", "scale", F.substring("packed", F.lit(1), F.col("t") * width).alias("before"))
     )
 
     def unit(rows: list[tuple], t: int, i: int, j: int):
@@ -107,30 +115,38 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
         mine = np.array([r[0] for r in rows])
         cid = np.array([r[1] for r in rows], np.int64)
         n = np.array([r[2] for r in rows], np.int64)
-        x = np.frombuffer(b"".join(r[4] for r in rows), np.float64).reshape(len(rows), -1)
-        before = np.array([r[5] for r in rows], np.int64).reshape(len(rows), t)
+        x = np.frombuffer(b"".join(r[4] for r in rows), np.int16).reshape(len(rows), -1).astype(np.float64)
+        scale = np.array([r[5] for r in rows])
+        x *= scale[:, None]
+        before = np.frombuffer(b"".join(r[6] for r in rows), kind).reshape(len(rows), t)
         left = np.flatnonzero(mine == i)
         right = np.flatnonzero(mine == j)
         if not len(left) or not len(right):
             return
-        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+        # rounding moves a unit vector by at most half a step a component
+        off = scale * (math.sqrt(x.shape[1]) / 2)
+        cosine = x[left] @ x[right].T
+        bound = off[left][:, None] + off[right][None] + off[left][:, None] * off[right][None] + 1e-9
+        a, b = np.nonzero(cosine >= threshold - bound)
+        sure = cosine[a, b] >= threshold + bound[a, b]
+        del cosine, bound
         a, b = left[a], right[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        if t and len(a):
-            new = np.concatenate([(before[a[k : k + 50_000]] != before[b[k : k + 50_000]]).all(axis=1) for k in range(0, len(a), 50_000)])
-            a, b = a[new], b[new]
-        if not len(a):
-            return
+        keep = np.ones(len(a), bool) if i != j else a < b
+        for k in range(0, len(a) if t else 0, 50_000):
+            keep[k : k + 50_000] &= (before[a[k : k + 50_000]] != before[b[k : k + 50_000]]).all(axis=1)
+        a, b, sure = a[keep], b[keep], sure[keep]
+        near, edge = {}, {}
+        for y, z in zip(a[~sure].tolist(), b[~sure].tolist()):
+            near.setdefault(y, []).append(int(cid[z]))
+        a, b = a[sure], b[sure]
         links = np.bincount(a, n[b], len(rows)) + np.bincount(b, n[a], len(rows))
-        edge = {}
         for k in forest(a, b, len(rows)):
             edge.setdefault(int(a[k]), []).append(rows[int(b[k])][3])
-        for r in np.flatnonzero(links):
-            yield int(cid[r]), int(links[r]), rows[r][3], edge.get(int(r), [])
+        for r in np.flatnonzero((links > 0) | np.isin(np.arange(len(rows)), list(near))):
+            yield int(cid[r]), int(links[r]), rows[r][3], edge.get(int(r), []), near.get(int(r), [])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.list_(pa.int64()))])
+        schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
         at, held, out = None, [], []
         for b in batches:
             for t, s, i, j, *rest in zip(*(c.to_pylist() for c in b.columns)):
@@ -147,11 +163,25 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cosine = [float(np.frombuffer(x.as_buffer(), np.float64) @ np.frombuffer(y.as_buffer(), np.float64)) for x, y in zip(b.column("vcid"), b.column("vother"))]
+            yield b.select([c for c in b.schema.names if c[0] != "v"]).filter(pa.array(np.array(cosine) >= threshold, pa.bool_()))
+
     found = store(
-        placed.repartition("t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j").transform(in_arrow, compare, "cid long, links long, a long, b array<long>"), "links"
+        placed.repartition("t", "s", "i", "j").sortWithinPartitions("t", "s", "i", "j").transform(in_arrow, compare, "cid long, links long, a long, b array<long>, near array<long>"), "links"
     )
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    comp = components(found.select("a", F.explode("b").alias("b")))
+    close = found.select("cid", F.explode("near").alias("other"))
+    told = found.select("cid", "links")
+    edges = found.select("a", F.explode("b").alias("b"))
+    if not close.isEmpty():
+        one, two = (signed.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("least").alias(f"l{c}"), F.col("v").alias(f"v{c}")) for c in ("cid", "other"))
+        pairs = close.join(one, "cid").join(two, "other").select("cid", "other", "ncid", "nother", "lcid", "lother", "vcid", "vother").transform(in_arrow, exact, "cid long, other long, ncid long, nother long, lcid long, lother long")
+        pairs = store(pairs, "exact-pairs")
+        told = told.unionByName(pairs.select("cid", F.col("nother").alias("links"))).unionByName(pairs.select(F.col("other").alias("cid"), F.col("ncid").alias("links")))
+        edges = edges.unionByName(pairs.select(F.col("lcid").alias("a"), F.col("lother").alias("b")))
+    links = told.groupBy("cid").agg(F.sum("links").alias("links"))
+    comp = components(edges)
     per_class = (
         signed.select("class", "cid", "n", "least")
         .join(links, "cid", "left")

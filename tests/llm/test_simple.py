@@ -101,6 +101,38 @@ def test_embeddings_with_odd_rows(spark):
     assert embed_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_embeddings_against_brute_force_with_buckets_of_several_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    base = rng.standard_normal((30, 16))
+    x = np.concatenate([base[rng.integers(0, 30, 300)] + rng.standard_normal((300, 16)) * rng.choice([0.05, 0.2, 0.3], 300)[:, None], base[:5], base[:5] * 3]).astype(np.float32)
+    # pairs at the threshold itself: an angle in a plane
+    for k, c in enumerate((0.9 - 1e-6, 0.9 - 1e-7, 0.9 + 1e-7, 0.9 + 1e-6)):
+        two = np.zeros((2, 16), np.float32)
+        two[0, 2 * k], two[1, 2 * k : 2 * k + 2] = 1, (c, np.sqrt(1 - c * c))
+        x = np.concatenate([x, two])
+    ids = [int(i) for i in rng.permutation(len(x))]
+    rows = [(i, v.tolist(), "a", "b", 1, "c") for i, v in zip(ids, x)] + [(None, x[0].tolist(), "a", "b", 1, "c"), (ids[3], x[3].tolist(), "a", "b", 1, "c"), (5000, None, "a", "b", 1, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class string, v string, n int, cid string")
+    got = embed_dedup.link(df, "vec_id", "embedding").collect()
+    y = np.array([r[1] or [0.0] * 16 for r in rows], np.float64)
+    y /= np.maximum(np.sqrt((y * y).sum(axis=1)), 1e-300)[:, None]
+    linked = y @ y.T >= 0.9
+    np.fill_diagonal(linked, False)
+    key = [r[0] for r in rows]
+    comp = {i: i for i in key if i is not None}
+    while True:
+        low = {i: min([comp[i], *(comp[key[b]] for a in range(len(key)) if key[a] == i for b in np.flatnonzero(linked[a]) if key[b] is not None)]) for i in comp}
+        if low == comp:
+            break
+        comp = low
+    want = sorted((str(i), int(n.sum()), str(comp.get(i))) for i, n in zip(key, linked))
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == want
+
+
 def frames(data):
     """(dictionary, sizes of the frames after it, their contents) of an archive, by the library's frame readers."""
     import zstandard
