@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.cluster import components, discard, in_arrow, ship, store
+from ripplet.llm.cluster import BROADCAST_IDS, components, discard, in_arrow, ship, store
 
 BLOCK, MISS, BUCKET = 2048, 1e-4, 1024
 
@@ -102,6 +102,9 @@ def link(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFr
     signed = store(classes.transform(in_arrow, sign, "class string, n long, least long, v binary, short binary, scale double, packed binary, sig array<long>").withColumn("cid", F.xxhash64("class")), "signed")
     entries = signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least")
     sizes = entries.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    sizes = store(sizes, "bucket-sizes")
+    # some rows / BUCKET for each table: as long as they are few, entries needn't be shuffled to meet them
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
     placed = (
         signed.select(F.posexplode("sig").alias("t", "s"), "cid", "n", "least", "short", "scale", "packed")
         .join(sizes, ["t", "s"])
