@@ -6,12 +6,13 @@
 3. Representatives that share a band meet in its bucket. Every member is first compared with the bucket's smallest id,
    a star and never all pairs; the XOR population count of two sketches estimates their similarity and drops the
    pairs that are far below the threshold; full sets confirm the rest.
-4. Buckets whose members lie in one component after that are done. In the others, members of different components are
-   compared with each other (a join on the bucket, split by size where skewed), unless their known distances from the
-   bucket's smallest id show that they can't be linked, and confirmed in the same way.
+4. Buckets whose members lie in one component after that are done. The others are cut into blocks of about BLOCK members; each
+   pair of blocks is a unit of work that compares sizes, sketches and known distances from the bucket's smallest id of its
+   members in different components, by arrays, and gives the pairs that may be linked, to be confirmed in the same way.
+   A bucket of documents that only share a template costs array operations, not rows, as its sketches tell them apart.
 
 With 25 bands of 5 rows a pair at 0.85 shares no band with a chance of 4e-7, and its sketches differ in more than
-MOST_APART bits with one of about 1e-8. Links are confirmed on the full sets of 64-bit shingle hashes, without any cap.
+most_apart(percent) bits with one of about 1e-7. Links are confirmed on the full sets of 64-bit shingle hashes, without any cap.
 
 Defined cases: null or empty text, or text without words: an empty set, no links, its own component. A text of one to
 four words: one shingle. Null id: the row links with nothing, its component is null and it is kept. Rows that repeat an
@@ -20,6 +21,7 @@ id are one vertex. An empty table gives an empty table. Further columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,18 @@ from pyspark.sql import functions as F
 from ripplet.llm.cluster import components, discard, in_arrow, only, ship, store
 from ripplet.llm.lexing import SPACE, U, Words, mix, shingles, slices, texts
 
-BANDS, ROWS, SKETCH_BITS = 25, 5, 256
-#: At a similarity of 0.85 the sketches of 125 samples differ in 33 bits on average, with a deviation below 7.
-MOST_APART = 72
+BANDS, ROWS, SKETCH_BITS, BLOCK = 25, 5, 1024, 1024
+
+
+def most_apart(percent: int) -> int:
+    """Bits in which the sketches of two sets of that similarity differ with a chance of hardly more than 1e-7: 5.3 deviations above the mean."""
+    j, k = percent / 100, BANDS * ROWS
+    mean = SKETCH_BITS / 2 * (1 - math.exp(-4 * k * (1 - j) / SKETCH_BITS))
+    slope = 2 * math.exp(-4 * k * (1 - j) / SKETCH_BITS)  # bits a sample that differs
+    return math.ceil(mean + 5.3 * math.sqrt(slope**2 * k * j * (1 - j) + mean * (1 - slope / 2)))
+
+
+MOST_APART = most_apart(85)
 
 _rng = np.random.Generator(np.random.PCG64(4711))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -107,11 +118,13 @@ def apart(a: str, b: str):
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, common, total) of the pairs (a, b): the sizes of the intersection and of the union of their full sets."""
+def compare(pairs: DataFrame, rows: DataFrame, repeated: bool = True) -> DataFrame:
+    """(a, b, common, total) of the pairs (a, b): the sizes of the intersection and of the union of their full sets. repeated: whether rows may repeat an id."""
     ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
-    full = only(rows, ids).dropDuplicates(["id", "text"]).transform(in_arrow, _shingle_rows, "id long, sh binary")
-    full = store(full, "full-sets")
+    some = only(rows, ids)
+    if repeated:  # else texts needn't be shuffled to meet their like
+        some = some.dropDuplicates(["id", "text"])
+    full = store(some.transform(in_arrow, _shingle_rows, "id long, sh binary"), "full-sets")
     both = pairs.select("a", "b").join(full.withColumnRenamed("id", "b").withColumnRenamed("sh", "y"), "b").join(full.withColumnRenamed("id", "a").withColumnRenamed("sh", "x"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +142,57 @@ def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def _unit(rows: list[tuple], i: int, j: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (larger id, smaller id) of two blocks of a bucket that may be linked."""
+    mine, ident, c, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    d = np.array([np.nan if r[4] is None else r[4] for r in rows])
+    sketch = np.array([r[5] for r in rows], np.int64).view(np.uint64)
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    bits = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(SKETCH_BITS // 64):
+        bits += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None])
+    a, b = np.nonzero((bits <= most) & (c[left][:, None] != c[right][None]))
+    a, b = left[a], right[b]
+    keep = percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
+    # Jaccard distance is a metric: two sets are at least as far apart as their distances from a third differ
+    keep &= ~(np.abs(d[a] - d[b]) > 1 - percent / 100 + 1e-9)
+    if i == j:
+        keep &= a < b
+    a, b = ident[a[keep]], ident[b[keep]]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def crossed(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), distinct: pairs of members(key, id, c, n, d, sketch) of a key, in different components c, that may be linked by their sizes, distances d and sketches."""
+    most = most_apart(percent)
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = (
+        members.join(sizes, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c", "n", "d", "sketch")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = _unit(held, at[1], at[2], percent, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for key, i, j, *rest in zip(*(x.to_pylist() for x in batch.columns)):
+                if (key, i, j) != at:
+                    if len(held) > 1:
+                        yield done()
+                    at, held = (key, i, j), []
+                held.append(rest)
+        if len(held) > 1:
+            yield done()
+
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row."""
     spark = df.sparkSession
@@ -151,13 +215,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and sketches let them be linked."""
         with_a = pairs.join(sketch.withColumnRenamed("id", "a"), "a").withColumnRenamed("sketch", "s")
-        return with_a.join(other, "b").where(linked_size).where(apart("s", "t") <= MOST_APART).select("a", "b").distinct()
+        return with_a.join(other, "b").where(linked_size).where(apart("s", "t") <= most_apart(percent)).select("a", "b").distinct()
 
     pairs = store(alike(members.where("id > b").select(F.col("id").alias("a"), "b").distinct()), "pairs")
     # classes join ids with several sets, or the same set under several ids, to their representative
     same = some.join(classes, "set_hash").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     linked = f"100 * common >= {percent} * total"
-    first = compare(pairs, docs)
+    repeated = not signed.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    first = compare(pairs, docs, repeated)
     comp = components(first.where(linked))
     # buckets that still hold more than one component
     placed = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -167,14 +232,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     open_rows = store(placed.join(mixed, "key", "left_semi").join(known, ["id", "b"], "left").withColumn("d", F.when(F.col("id") == F.col("b"), 0.0).otherwise(F.col("d"))), "open")
     more = first.where(linked).select("a", "b")
     if not open_rows.isEmpty():
-        left = open_rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"))
-        right = open_rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
-        # Jaccard distance is a metric: two sets are at least as far apart as their distances from a third differ
-        near = (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9) | F.col("da").isNull() | F.col("db").isNull()
-        cross = left.join(right, "key").where("a > b and ca <> cb").where(near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        cross = store(alike(cross), "cross-pairs")
+        inside = open_rows.join(sketch, "id").select("key", "id", "c", "n", "d", "sketch")
+        cross = store(crossed(inside, percent).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
         if not cross.isEmpty():
-            more = more.unionByName(compare(cross, docs).where(linked).select("a", "b"))
+            more = more.unionByName(compare(cross, docs, repeated).where(linked).select("a", "b"))
     final = components(more.unionByName(same))
     out = signed.select("id", "n_shingles").join(final, "id", "left")
     out = out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))

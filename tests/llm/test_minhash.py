@@ -64,3 +64,53 @@ def test_sketches_tell_similarity():
         k = minhash.BANDS * minhash.ROWS
         estimate = 1 + minhash.SKETCH_BITS / (4 * k) * np.log(1 - 2 * np.mean(apart) / minhash.SKETCH_BITS)
         assert abs(estimate - j) < 0.03
+
+
+def templated(rng, n, shared=300, own=120):
+    """Documents of a common template with words of their own: similarities of about 0.55."""
+    template = [f"t{rng.randint(0, 10**6)}" for _ in range(shared)]
+    return [" ".join(template + [f"o{rng.randint(0, 10**7)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_documents_of_one_template_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = list(enumerate(templated(rng, 2000)))
+    w = rows[1500][1].split()
+    rows.append((3000, " ".join([*w[:-6], *"u v w x y z".split()])))
+    counts = []
+    plain = minhash.compare
+    monkeypatch.setattr(minhash, "compare", lambda pairs, *more: counts.append(pairs.count()) or plain(pairs, *more))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 1500 if i == 3000 else i for i, _ in rows}
+    # of 2,001,000 pairs
+    assert sum(counts) < 60_000, counts
+
+
+def test_buckets_of_several_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(32)
+    rows = []
+    for text in templated(rng, 40):
+        for k in range(rng.choice((1, 1, 2, 3))):
+            w = text.split()
+            for _ in range(rng.choice((0, 1, 2, 6))):
+                w[rng.randrange(len(w))] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    rows += [(rows[0][0], rows[5][1]), (rows[1][0], rows[1][1])]
+    for percent in (80, 85):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, percent)
+
+
+def test_sketch_bounds_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    for percent in (80, 85, 95):
+        n, apart = 4000, []
+        for _ in range(120):
+            union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            only = int(n * (1 - percent / 100) / 2)
+            a, b = (minhash.sketches(minhash.samples(np.sort(u))[None])[1] for u in (union[only:], union[: n - only]))
+            apart.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
+        # far enough from what was drawn to be rare, and not so far that it says nothing
+        assert np.mean(apart) + 4.5 * np.std(apart) < minhash.most_apart(percent) < np.mean(apart) + 7 * np.std(apart)
