@@ -81,15 +81,43 @@ def visited_paths(text: str | Column) -> Column:
     return F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"^\w+://[^/]*", "")), lambda u: u.startswith("/"))
 
 
-def content_references(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """(reader, target) of files(path, content) that name targets(path) by their base name as a whole word, themselves excluded.
+_LEFT, _INNER, _RIGHT = r"""["'`\s=(]""", r"""[^"'`\s=(),;:]""", r"""["'`\s),;:]"""
 
-    An inverted index of words replaces the product of files and targets: words are exploded once, base names meet them
-    by equality, and the full name is verified.
+
+def reference_tokens(targets: DataFrame, above: bool) -> DataFrame:
+    """(target, token, bare, last) of targets(path): what names a file: its path, its base name and, if asked for, the directories above and their names.
+
+    bare: a token without dot or slash, which prose has too; last: its last segment.
+    """
+    base = F.array("path", basename("path"))
+    dirs = F.filter(ancestors("path"), lambda d: d != "")
+    tokens = F.concat(base, dirs, F.transform(dirs, lambda d: F.regexp_extract(d, "([^/]*)$", 1))) if above else base
+    t = targets.select(F.col("path").alias("target"), F.explode(F.array_distinct(tokens)).alias("token"))
+    return t.select("target", "token", ~F.col("token").rlike("[./]"), F.regexp_extract("token", "([^/]*)$", 1)).toDF("target", "token", "bare", "last")
+
+
+def content_references(files: DataFrame, targets: DataFrame, above: bool = False) -> DataFrame:
+    """(reader, target) of files(path, content) that name targets(path), themselves excluded.
+
+    A token counts between quotes, slashes, white space and the like; a bare one only between quotes or slashes. Texts are cut at
+    such places into pieces, which meet the tokens by their segments: an inverted index in place of the product of files and
+    targets. The whole token is then looked for in the piece.
     """
-    words = files.select(F.col("path").alias("reader"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_.\-]+"), F.lit(0)))).alias("word"))
-    names = targets.select(F.col("path").alias("target"), F.explode(F.array_distinct(F.array(basename("path"), F.regexp_replace(basename("path"), r"\.[^.]+$", "")))).alias("word"))
-    return words.join(names, "word").where("reader <> target").select("reader", "target").distinct()
+    piece = rf"(?:^|{_LEFT}){_INNER}+(?={{}})"
+
+    def ending(end: str, quoted: bool) -> Column:
+        found = F.array_distinct(F.regexp_extract_all("content", F.lit(f"(?m){piece.format(end)}"), F.lit(0)))
+        return F.transform(found, lambda x: F.struct(x.alias("piece"), F.lit(quoted).alias("quoted")))
+
+    found = F.concat(ending(rf"$|{_RIGHT}", False), ending("[\"'`]", True))
+    pieces = files.select(F.col("path").alias("reader"), F.explode(found).alias("f")).select("reader", F.regexp_replace("f.piece", f"^{_LEFT}", "").alias("piece"), F.col("f.piece").rlike("^[\"'`]").alias("opened"), F.col("f.quoted").alias("closed"))
+    words = pieces.select("*", F.explode(F.array_distinct(F.split("piece", "/"))).alias("last")).where("last <> ''")
+    whole = F.concat(F.lit("/"), "piece", F.lit("/"))
+    inside = whole.contains(F.concat(F.lit("/"), "token", F.lit("/")))
+    first, end = F.col("piece").startswith(F.concat("token", F.lit("/"))), F.col("piece").endswith(F.concat(F.lit("/"), "token"))
+    bare = F.col("piece").contains(F.concat(F.lit("/"), "token", F.lit("/"))) | (F.col("opened") & first) | (F.col("closed") & end) | (F.col("opened") & F.col("closed") & (F.col("piece") == F.col("token")))
+    hit = words.join(reference_tokens(targets, above), "last").where("reader <> target").where(F.when(F.col("bare"), bare).otherwise(inside))
+    return hit.select("reader", "target").distinct()
 
 
 def path_baseline(changed: DataFrame, tests: DataFrame) -> DataFrame:

@@ -181,14 +181,14 @@ def visited(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(s.visited_paths("html")).alias("visited"))
 
 
-_WORDS = "tg as (select distinct concat('lib/', w, '.ts') as target, w from (select regexp_extract(text, '([A-Za-z]{6,})', 1) as w from benchmark) where w <> '')"
+_NAMED = r"([A-Za-z]{4,}\.)\s"
 
 
-@R.add("join_content_references", f"with {_WORDS} select distinct d.doc_id as reader, target from documents d join (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.\\-]+'))) as word from documents) x on x.doc_id = d.doc_id join tg on tg.w = word")
+@R.add("join_content_references", f"""with tg as (select distinct concat('lib/', w) as target, replace(w, '.', '\\.') as w from (select regexp_extract(text, '{_NAMED}', 1) as w from benchmark) where w <> '')
+  select doc_id as reader, target from documents, tg where regexp_matches(text, concat('(^|["''`/\\s=(])(lib/)?', w, '($|["''`/\\s),;:])'))""")
 def content(spark, sf):
     files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    w = F.regexp_extract("text", "([A-Za-z]{6,})", 1)
-    targets = table(spark, sf, "benchmark").select(w.alias("w")).where("w <> ''").distinct().select(F.concat(F.lit("lib/"), "w", F.lit(".ts")).alias("path"))
+    targets = table(spark, sf, "benchmark").select(F.regexp_extract("text", _NAMED, 1).alias("w")).where("w <> ''").distinct().select(F.concat(F.lit("lib/"), "w").alias("path"))
     return s.content_references(files, targets).select(F.col("reader").cast("long").alias("reader"), "target")
 
 

@@ -82,3 +82,15 @@ def test_values(spark):
     assert one(r.same_json(F.lit('{"a": "x  y"}'), F.lit('{"a":"x  y"}'))) and not one(r.same_json(F.lit('{"a": "x y"}'), F.lit('{"a":"x  y"}'))) and not one(r.same_json(F.lit('{"a":1,"b":2}'), F.lit('{"b":2,"a":1}')))
     assert [one(r.report_path(F.lit(x), "/w/repo", "pkg")) for x in ("/w/repo/a/b.ts", "/else/b.ts", "./a//b.ts", "../b.ts", "http://x/y", "a\\b.ts", "a/")] == ["a/b.ts", "/else/b.ts", "pkg/a/b.ts", "", "", "pkg/a/b.ts", ""]
     assert one(r.pytest_file(F.lit("a/b/tests/test_x.py"), ["test_*.py"], ["**/tests"])) and not one(r.pytest_file(F.lit("a/test_x.py"), ["test_*.py"], ["tests"])) and one(r.pytest_file(F.lit("x_test.py"), ["*_test.py"], []))
+
+
+def test_names_in_content(spark):
+    from ripplet.operators.selection import content_references
+
+    files = spark.createDataFrame([
+        ("full", 'read("src/data/a.json")'), ("base", "cat a.json | sort"), ("other", "xa.json a.jsonx a_json"), ("prose", "the data is here"), ("quoted", "list('data')"), ("slash", "ls ./data/x"),
+        ("end", "open('src/data')"), ("comma", "[b,a.json]"), ("src/data/a.json", "a.json"), ("null", None),
+    ], "path string, content string")
+    target = spark.createDataFrame([("src/data/a.json",)], "path string")
+    assert {x.reader for x in content_references(files, target).collect()} == {"full", "base"}
+    assert {x.reader for x in content_references(files, target, above=True).collect()} == {"full", "base", "quoted", "slash", "end"}
