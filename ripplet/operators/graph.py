@@ -115,3 +115,67 @@ def export_reach(bindings: DataFrame, seeds: DataFrame) -> DataFrame:
         front = store(step.join(seen, ["root", "path", "name"], "left_anti"), "reach")
         paths.append(front._ripplet_path)
     return spark.read.schema(front.schema).parquet(*paths)
+
+
+def body_edges(runtime: DataFrame, imports: DataFrame, modules: DataFrame, forwards: DataFrame, stars: DataFrame, type_imports: DataFrame | None = None) -> DataFrame:
+    """(path, target, name): what running a module's body loads of each runtime(path, target) dependency, `*` for the whole.
+
+    A target from which imports(path, target, name) take names counts by these if modules(path, plain) says that loading it does
+    nothing else (plain); one that is only re-exported then isn't loaded at all. Where types are checked as tests run,
+    a target of type_imports(path, target) counts as a whole.
+    """
+    plain = modules.where("plain").select(F.col("path").alias("target"), F.lit(True).alias("plain")).distinct()
+    named = imports.groupBy("path", "target").agg(F.collect_set("name").alias("names"))
+    passed = forwards.select("path", "target").unionByName(stars.select("path", "target")).distinct().withColumn("passed", F.lit(True))
+    r = runtime.select("path", "target").distinct().join(plain, "target", "left").join(named, ["path", "target"], "left").join(passed, ["path", "target"], "left")
+    typed = F.lit(False)
+    if type_imports is not None:
+        r = r.join(type_imports.select("path", "target", F.lit(True).alias("typed")).distinct(), ["path", "target"], "left")
+        typed = F.coalesce("typed", F.lit(False))
+    whole = typed | (F.col("names").isNull() & F.col("passed").isNull()) | F.col("plain").isNull() | F.array_contains("names", "*")
+    names = F.when(whole, F.array(F.lit("*"))).otherwise(F.coalesce("names", F.array().cast("array<string>")))
+    return r.select("path", "target", F.explode(names).alias("name"))
+
+
+def module_reach(modules: DataFrame, own: DataFrame, forwards: DataFrame, stars: DataFrame, body: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, path, name): the exports, `*` for all of a module, that each of roots(path) makes its imports reach.
+
+    modules(path, plain): plain modules do nothing but define, so that one export of them can be taken alone; all others, and
+    modules without a row, count as a whole. own(path, name) are the exports that a module defines, forwards(path, name, target,
+    imported) those that it passes on by name (`imported` is `*` for a namespace), stars(path, target) what it passes on as a
+    whole, and body what its body loads (`body_edges`). A name is looked for among the own ones, whose body then runs; among the
+    forwards; and behind the stars that can have it. A name that is nowhere takes the whole module.
+    """
+    spark = modules.sparkSession
+    plain = store(modules.where("plain").select("path").distinct(), "plain-modules")
+    fwd = store(forwards.join(again(plain), "path", "left_semi").select("path", "name", "target", "imported").distinct(), "forwards")
+    star = store(stars.join(again(plain), "path", "left_semi").select("path", "target").distinct(), "stars")
+    mine = store(own.join(again(plain), "path", "left_semi").select("path", "name").distinct(), "own-exports")
+    bodies = store(body.select("path", "target", F.col("name").alias("taken")).distinct(), "bodies")
+    whole = store(again(bodies).unionByName(forwards.select("path", "target", F.lit("*").alias("taken"))).unionByName(stars.select("path", "target", F.lit("*").alias("taken"))).distinct(), "wholes")
+    # what lies behind each star, star after star: the names there, or a module of which anything may come
+    behind = closure(again(star).select(F.col("path").alias("src"), F.col("target").alias("dst")), again(star).select(F.col("target").alias("root"), F.col("target").alias("node")).distinct()).select("root", F.col("node").alias("path"))
+    behind = store(behind, "behind-stars")
+    said = again(mine).unionByName(again(fwd).select("path", "name")).distinct()
+    can = store(again(behind).join(said, "path").select(F.col("root").alias("target"), "name").distinct(), "behind-names")
+    open_ = store(again(behind).join(again(plain), "path", "left_anti").select(F.col("root").alias("target")).distinct(), "behind-open")
+    front = store(roots.select(F.col("path").alias("root"), "path", F.lit("*").alias("name")).distinct(), "module-reach")
+    paths = [front._ripplet_path]
+    mark = lambda df, name, *keys: again(df).select(*keys).distinct().withColumn(name, F.lit(True))
+    while not front.isEmpty():
+        f = front.join(mark(plain, "is_plain", "path"), "path", "left").join(mark(mine, "is_own", "path", "name"), ["path", "name"], "left").join(mark(fwd, "is_passed", "path", "name"), ["path", "name"], "left")
+        kind = F.when((F.col("name") == "*") | F.col("is_plain").isNull(), "whole").when(F.col("is_own"), "body").when(F.col("is_passed"), "passed").otherwise("star")
+        f = f.select("root", "path", "name", kind.alias("kind"))
+        by_star = f.where("kind = 'star'").join(again(star), "path")
+        by_star = by_star.join(mark(can, "has", "target", "name"), ["target", "name"], "left").join(mark(open_, "any", "target"), "target", "left").where("has or any").select("root", "path", "name", "target")
+        nowhere = f.where("kind = 'star'").join(by_star.select("root", "path", "name").distinct(), ["root", "path", "name"], "left_anti")
+        step = (
+            f.where("kind = 'body'").join(again(bodies), "path").select("root", F.col("target").alias("path"), F.col("taken").alias("name"))
+            .unionByName(f.where("kind = 'whole'").unionByName(nowhere).join(again(whole), "path").select("root", F.col("target").alias("path"), F.col("taken").alias("name")))
+            .unionByName(f.where("kind = 'passed'").join(again(fwd), ["path", "name"]).select("root", F.col("target").alias("path"), F.col("imported").alias("name")))
+            .unionByName(by_star.select("root", F.col("target").alias("path"), "name"))
+        )
+        seen = spark.read.schema(front.schema).parquet(*paths)
+        front = store(step.distinct().join(seen, ["root", "path", "name"], "left_anti").select("root", "path", "name"), "module-reach")
+        paths.append(front._ripplet_path)
+    return spark.read.schema(front.schema).parquet(*paths)

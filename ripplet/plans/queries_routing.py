@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ripplet.operators import graph as g
 from ripplet.operators import routing as r
 from ripplet.plans.registry import Registry
 from ripplet.relations import load, sql, table
@@ -275,4 +276,36 @@ def included(spark, sf):
     return r.included_configs(inc, "c1")
 
 
+# parts are modules, line items what they own, pass on and load
+_MOD = """mods as (select p_partkey as path, p_size % 4 <> 0 as plain from part where p_partkey % 29 <> 3), pl as (select path from mods where plain), li as (select l_partkey as path, l_suppkey as target, concat('n', cast(l_linenumber % 3 as varchar(20))) as name, concat('n', cast((l_linenumber + l_suppkey) % 3 as varchar(20))) as other, l_quantity as q from lineitem where l_partkey <> l_suppkey),
+own as (select distinct path, name from li where q <= 6), fwd as (select distinct path, name, target, case when q = 8 then '*' else other end as imported from li where q in (7, 8)), star as (select distinct path, target from li where q in (9, 10)),
+imp as (select distinct path, target, case when q = 11 then '*' else name end as name from li where q between 11 and 14), run as (select distinct path, target from li where q between 7 and 16)"""
+
+
+@R.add(
+    "graph_module_reach",
+    f"""with recursive {_MOD}, names as (select unnest(['n0', 'n1', 'n2']) as name),
+    body as (select distinct r.path, r.target, case when not exists (select 1 from pl where pl.path = r.target) or exists (select 1 from imp i where i.path = r.path and i.target = r.target and i.name = '*') then '*' else i.name end as name from run r left join imp i on i.path = r.path and i.target = r.target
+      where i.name is not null or not exists (select 1 from pl where pl.path = r.target) or not exists (select 1 from fwd f where f.path = r.path and f.target = r.target union all select 1 from star s where s.path = r.path and s.target = r.target)),
+    load as (select path, target, coalesce(name, '*') as name from body), whole as (select * from load union select path, target, '*' from fwd union select path, target, '*' from star),
+    def(root, path) as (select distinct target, target from star union select d.root, s.target from def d join star s on s.path = d.path where s.path in (select path from pl)),
+    can as (select distinct d.root as path, n.name from def d, names n where d.path not in (select path from pl) or exists (select 1 from own o where o.path = d.path and o.name = n.name) or exists (select 1 from fwd f where f.path = d.path and f.name = n.name)),
+    pn as (select pl.path, n.name, case when exists (select 1 from own o where o.path = pl.path and o.name = n.name) then 1 when exists (select 1 from fwd f where f.path = pl.path and f.name = n.name) then 2 when exists (select 1 from star s join can c on c.path = s.target and c.name = n.name where s.path = pl.path) then 3 else 4 end as kind from pl, names n),
+    step as (select pn.path, pn.name, l.target, l.name as taken from pn join load l on l.path = pn.path where kind = 1 union all select pn.path, pn.name, f.target, f.imported from pn join fwd f on f.path = pn.path and f.name = pn.name where kind = 2
+      union all select pn.path, pn.name, s.target, pn.name from pn join star s on s.path = pn.path join can c on c.path = s.target and c.name = pn.name where kind = 3 union all select pn.path, pn.name, w.target, w.name from pn join whole w on w.path = pn.path where kind = 4
+      union all select w.path, n.name, w.target, w.name from whole w, names n where w.path not in (select path from pl) union all select path, '*', target, name from whole),
+    reach(root, path, name) as (select p_partkey, p_partkey, '*' from part where p_partkey % 5 = 0 union select r.root, s.target, s.taken from reach r join step s on s.path = r.path and s.name = r.name)
+    select root, path, name from reach""",
+)
+def module_reach(spark, sf):
+    part, li = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_partkey <> l_suppkey")
+    li = li.select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("target"), F.expr("concat('n', cast(l_linenumber % 3 as string))").alias("name"), F.expr("concat('n', cast((l_linenumber + l_suppkey) % 3 as string))").alias("other"), F.col("l_quantity").alias("q"))
+    modules = part.where("p_partkey % 29 <> 3").select(F.col("p_partkey").alias("path"), F.expr("p_size % 4 <> 0").alias("plain"))
+    fwd = li.where("q in (7, 8)").select("path", "name", "target", F.expr("case when q = 8 then '*' else other end").alias("imported"))
+    star = li.where("q in (9, 10)").select("path", "target")
+    imports = li.where("q between 11 and 14").select("path", "target", F.expr("case when q = 11 then '*' else name end").alias("name"))
+    body = g.body_edges(li.where("q between 7 and 16"), imports, modules, fwd, star)
+    return g.module_reach(modules, li.where("q <= 6").select("path", "name"), fwd, star, body, part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("path")))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

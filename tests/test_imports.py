@@ -94,3 +94,31 @@ def test_names_in_content(spark):
     target = spark.createDataFrame([("src/data/a.json",)], "path string")
     assert {x.reader for x in content_references(files, target).collect()} == {"full", "base"}
     assert {x.reader for x in content_references(files, target, above=True).collect()} == {"full", "base", "quoted", "slash", "end"}
+
+
+def reach(spark, plain, own=(), forwards=(), stars=(), runtime=(), imports=(), types=None):
+    from ripplet.operators import graph as g
+
+    make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    modules, fwd, star = make([(p, True) for p in plain], "path string, plain boolean"), make(forwards, "path string, name string, target string, imported string"), make(stars, "path string, target string")
+    t = None if types is None else make(types, "path string, target string")
+    body = g.body_edges(make(runtime, "path string, target string"), make(imports, "path string, target string, name string"), modules, fwd, star, t)
+    return {x.path for x in g.module_reach(modules, make(own, "path string, name string"), fwd, star, body, make([("t",)], "path string")).collect()}
+
+
+def test_reach_through_barrels(spark):
+    loads = dict(runtime=[("t", "barrel"), ("barrel", "a"), ("barrel", "b")], imports=[("t", "barrel", "a")])
+    own = [("a", "a"), ("b", "b")]
+    pairs = [("barrel", "a", "a", "a"), ("barrel", "b", "b", "b")]
+    assert reach(spark, ["barrel", "a", "b"], own, pairs, **loads) == {"t", "barrel", "a"}
+    # a module that does more than define counts as a whole
+    assert reach(spark, ["a", "b"], own, pairs, **loads) == {"t", "barrel", "a", "b"}
+    # stars: only what can have the name; an unknown name takes all
+    assert reach(spark, ["barrel", "a", "b"], own, (), [("barrel", "a"), ("barrel", "b")], **loads) == {"t", "barrel", "a"}
+    assert reach(spark, ["barrel", "a", "b"], [("a", "x")], (), [("barrel", "a"), ("barrel", "b")], **loads) == {"t", "barrel", "a", "b"}
+    # namespaces and cycles of stars
+    assert reach(spark, ["barrel", "a", "b"], own, [("barrel", "a", "a", "*")], [("a", "b"), ("b", "a")], **loads) == {"t", "barrel", "a", "b"}
+    # an own export runs the body, which loads by name; a type import counts where types are checked
+    own, loads = [("barrel", "a"), ("b", "b"), ("b", "c")], dict(runtime=[("t", "barrel"), ("barrel", "b"), ("b", "x")], imports=[("t", "barrel", "a"), ("barrel", "b", "b")])
+    assert reach(spark, ["barrel", "b", "x"], own, **loads) == {"t", "barrel", "b", "x"}
+    assert reach(spark, ["barrel", "b", "x"], [("barrel", "a"), ("b", "c")], [("b", "b", "x", "y")], types=[("barrel", "b")], **loads) == {"t", "barrel", "b", "x"}
