@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.runtime import again, store
+from ripplet.runtime import again, discard, store
 
 MAX_LEVELS = 10_000
 
@@ -44,6 +44,7 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
         step = front.join(again(links), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         front = store(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)), "level")
         paths.append(front._ripplet_path)
+    discard(links)
     return spark.read.schema(front.schema).parquet(*paths)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.operators.graph import closure, reverse, runtime_only
+from ripplet.runtime import store
 
 SCHEMA_VERSION = "1"
 
@@ -27,6 +28,30 @@ def affected(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFram
     return found.select(F.col("node").alias("test"), "ord", F.col("root").alias("changed_file"), reason.alias("reason"), "depth")
 
 
+def selected(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(test): the tests that `affected` has a reason for, without the reasons: one closure from all changed files together.
+
+    A deleted test doesn't select itself; whether another changed file does is asked for such tests alone, from their side.
+    """
+    seeds = changed.select(F.lit(0).alias("root"), F.col("path").alias("node"))
+    types = F.col("is_type_test") if "is_type_test" in nodes.columns else F.lit(False)
+    tests = nodes.where("is_test").select(F.col("path").alias("node"), types.alias("types"))
+    gone = changed.groupBy("path").agg(F.bool_and(F.col("change_type") == "deleted").alias("gone")).where("gone").select(F.col("path").alias("node"))
+    parts = []
+    for links, some in ((runtime_only(edges), tests.where("not types")), (edges, tests.where("types"))):
+        if not some.isEmpty():
+            hit = closure(reverse(links), seeds).select("node").distinct().join(some.select("node"), "node", "left_semi")
+            parts.append(hit.join(gone, "node", "left_anti"))
+            lost = store(hit.join(gone, "node", "left_semi"), "deleted-tests")
+            if not lost.isEmpty():
+                far = closure(links, lost.select(F.col("node").alias("root"), "node")).where("depth > 0")
+                parts.append(far.join(changed.select(F.col("path").alias("node")).distinct(), "node", "left_semi").select(F.col("root").alias("node")))
+    out = nodes.where("false").select(F.col("path").alias("node"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out.select(F.col("node").alias("test")).distinct()
+
+
 def test_impact(reasons: DataFrame) -> DataFrame:
     """(test, reasons, evidence): distinct reasons in the order in which they were first seen, and the changed files."""
     return reasons.groupBy("test").agg(

@@ -117,26 +117,35 @@ def _reasons(spark, sf):
     return nodes, changed, impact.affected(nodes, edges, changed)
 
 
+def _selected(spark, sf):
+    nodes, edges, changed = _load(spark, sf)
+    return nodes, changed, impact.selected(nodes, edges, changed)
+
+
 @R.add("impact_reasons", f"{_BASE}, {_UP}, {_LIVE}, {_HIT} select test, ord, changed_file, reason from why")
 def reasons(spark, sf):
     return _reasons(spark, sf)[2].drop("depth")
 
 
-@R.add("impact_tests", f"{_BASE}, {_UP}, {_LIVE}, {_HIT} select test, array_to_string(list_distinct(list(reason)), ',') is not null as has_reason, count(*) as evidence, min(ord) as first_ord from why group by test")
+@R.add(
+    "impact_tests",
+    f"""{_BASE}, {_UP}, {_LIVE}, {_HIT}, first_met as (select test, reason, min(ord) as o from why group by test, reason), r as (select test, string_agg(reason, ',' order by o, reason) as reasons from first_met group by test)
+    select why.test, any_value(r.reasons) as reasons, string_agg(cast(changed_file as varchar), ',' order by ord, changed_file) as evidence from why join r on r.test = why.test group by why.test""",
+)
 def tests(spark, sf):
     rolled = impact.test_impact(_reasons(spark, sf)[2])
-    return rolled.select("test", (F.size("reasons") > 0).alias("has_reason"), F.size("evidence").cast("long").alias("evidence"), F.col("evidence")[0].alias("first_ord"))
+    return rolled.select("test", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
 @R.add("impact_plan", f"{_BASE}, {_UP}, {_LIVE}, {_HIT}, {_MODE} select test, decision, mode from plan")
 def plan(spark, sf):
-    nodes, changed, why = _reasons(spark, sf)
+    nodes, changed, why = _selected(spark, sf)
     return impact.plan(nodes, why, impact.fallback(nodes, changed))
 
 
 @R.add("impact_plan_selective", f"{_BASE}, {_UP}, {_LIVE}, {_HIT}, {_MODE} select n.path as test, case when exists (select 1 from why w where w.test = n.path) then 'SELECTED' else 'SKIPPED' end as decision, 'SELECTIVE' as mode from node n where is_test")
 def plan_selective(spark, sf):
-    nodes, changed, why = _reasons(spark, sf)
+    nodes, changed, why = _selected(spark, sf)
     return impact.plan(nodes, why, impact.fallback(nodes, changed).limit(0))
 
 
@@ -148,7 +157,7 @@ def fallbacks(spark, sf):
 
 @R.add("impact_changed_tests_unselected", f"{_BASE} select path as test from changed where false")
 def invariant(spark, sf):
-    nodes, changed, why = _reasons(spark, sf)
+    nodes, changed, why = _selected(spark, sf)
     return impact.unselected_changes(nodes, changed, impact.plan(nodes, why, impact.fallback(nodes, changed)))
 
 
@@ -180,7 +189,7 @@ def tasks_full(spark, sf):
     from node n left join st s on s.task = n.path""",
 )
 def explain(spark, sf):
-    nodes, changed, why = _reasons(spark, sf)
+    nodes, changed, why = _selected(spark, sf)
     p = impact.plan(nodes, why, impact.fallback(nodes, changed).limit(0))
     t = _tasks(nodes, None, changed).withColumn("always_run", F.col("status") == "ALWAYS_RUN")
     return impact.explain(nodes.select(F.col("path").alias("target")), p, t, why)

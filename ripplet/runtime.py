@@ -32,7 +32,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     self-joins between rounds are never ambiguous.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), f"ripplet-shared-{os.getuid()}").as_uri()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = Path(tempfile.gettempdir(), f"ripplet-shared-{os.getuid()}").as_uri()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,3 +47,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def again(df: DataFrame) -> DataFrame:
     """A second reading of a stored table, for the other side of a self-join."""
     return df.sparkSession.read.schema(df.schema).parquet(df._ripplet_path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._ripplet_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
