@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.runtime import store
-
 VERDICTS = "flaky infra ci-only shared likely partly preventable".split()
 IDLE = ["action_required", "skipped", "startup_failure"]
 
@@ -91,7 +89,6 @@ def own_failures(runs: DataFrame, jobs: DataFrame, annotations: DataFrame) -> Da
     """(run, job, name, bucket, ownership) of the failing jobs that count in each red run; gates count only alone."""
     red = runs.where("conclusion = 'failure'").select("run", "pr", "workflow_name")
     failing = jobs.where("conclusion in ('failure', 'timed_out')").join(red, "run").withColumn("bucket", bucket("name", "conclusion", "failed_steps", "steps_known", "workflow_name")).withColumn("gate", is_gate("name"))
-    failing = store(failing, "failing")  # read four times below
     signed = failing.where("bucket = 'check'").join(annotations.where("signature is not null").select("job", "signature").distinct(), "job")
     # on how many pull requests a signature, and a check job's name, was seen
     spread = signed.groupBy("signature").agg(F.count_distinct("pr").alias("seen"))
