@@ -6,6 +6,7 @@ from ripplet.operators import graph as g
 from ripplet.operators import routing as r
 from ripplet.plans.registry import Registry
 from ripplet.relations import load, sql, table
+from ripplet.runtime import store
 from ripplet.sources import imports as im
 
 R = Registry()
@@ -46,7 +47,7 @@ expanded as (select c.path, c.ord, s.path as target from comp c join src s on pa
 
 def _loaded(spark, sf):
     src = _sources(spark, sf)
-    refs = im.extract_imports(src.select("path", "content"))
+    refs = store(im.extract_imports(src.select("path", "content")), "imports")  # texts are read once for all that follows
     return src, refs, im.resolve_imports(refs, src, _ALIASES, _packages(spark, sf), ("fs",)), im.expand_computed(refs, src.select("path", F.lit(True).alias("usable")))
 
 
