@@ -122,3 +122,41 @@ def test_reach_through_barrels(spark):
     own, loads = [("barrel", "a"), ("b", "b"), ("b", "c")], dict(runtime=[("t", "barrel"), ("barrel", "b"), ("b", "x")], imports=[("t", "barrel", "a"), ("barrel", "b", "b")])
     assert reach(spark, ["barrel", "b", "x"], own, **loads) == {"t", "barrel", "b", "x"}
     assert reach(spark, ["barrel", "b", "x"], [("barrel", "a"), ("b", "c")], [("b", "b", "x", "y")], types=[("barrel", "b")], **loads) == {"t", "barrel", "b", "x"}
+
+
+def test_expansion_keeps_loads_and_targets_apart(spark):
+    # 40 loads of one directory: its files are matched once, not once a load
+    files = [f"d/f{i}.ts" for i in range(60)] + ["d/sub/f1.ts", "e/f1.ts"]
+    text = "import(`./f${n}1`); import('./f11'); import x from './f11';"
+    both = text + " import(`./f${n}`);"
+    src = spark.createDataFrame([(f"d/f{i}.ts", both if i == 1 else text) for i in range(40)], "path string, content string")
+    f = spark.createDataFrame([(p, True) for p in files], "path string, usable boolean")
+    refs = im.extract_imports(src)
+    some = im.expansion(refs, f)
+    assert some.loads.count() == 41
+    assert some.targets.where("regex not like '%1%'").count() == 60 and some.targets.where("regex like '%1%'").count() == 6
+    ends = [p for p in files if p.startswith("d/f") and p.endswith("1.ts")]
+    want = {(f"d/f{i}.ts", t, "dynamic-import") for i in range(40) for t in ends if t != f"d/f{i}.ts"} | {(f"d/f{i}.ts", "d/f11.ts", "import") for i in range(40) if i != 11} | {("d/f1.ts", t, "dynamic-import") for t in files[:60] if t != "d/f1.ts"}
+    res = im.resolve_imports(refs, f, [], spark.createDataFrame([], "name string, subpath string, target string"))
+    got = [tuple(r) for r in im.import_edges(res, some).collect()]
+    assert got == sorted(want)
+    assert sorted((r.importer, r.target) for r in some.rows().collect() if r.ord == 0) == sorted((s, t) for s, t, k in want if k == "dynamic-import" and t in ends)
+    assert {r.resolution: r.n for r in im.resolution_counts(refs, res, some.loads).collect()}["expanded"] == 41
+    # a file that can't be loaded leaves all loads computed but its own
+    bad = f.withColumn("usable", F.col("path") != "d/f21.ts")
+    assert {r.importer for r in im.expand_computed(refs.where("importer <> 'd/f1.ts'"), bad).collect()} == {"d/f21.ts"}
+
+
+def test_first_of_several_places_of_a_reference(spark):
+    # an alias before another, a source before its declaration, a compiled ending, a package's export as it is
+    files = ["b/x.ts", "a/x.d.ts", "a/y.tsx", "b/y.ts", "p/out.js", "p/out.js.ts", "r.ts", "r/index.ts"]
+    refs = im.extract_imports(spark.createDataFrame([("main.ts", "import '@/x'; import '@/y.js'; import 'pkg'; import './r'; import './r/'; import 'none'; import '@/none';")], "path string, content string"))
+    f = spark.createDataFrame([(p,) for p in files], "path string")
+    packages = spark.createDataFrame([("pkg", ".", "p/out.js")], "name string, subpath string, target string")
+    out = im.resolve_imports(refs, f, [("@/*", "a/*"), ("@/*", "b/*")], packages)
+    assert {r.specifier: (r.resolved, r.resolution) for r in out.collect()} == {
+        "@/x": ("a/x.d.ts", "internal"), "@/y.js": ("a/y.tsx", "internal"), "pkg": ("p/out.js", "internal"), "./r": ("r.ts", "internal"), "./r/": ("r.ts", "internal"), "none": (None, "external-package"), "@/none": (None, "unresolved"),
+    }
+    # six references are six rows: they meet files by what an import may say of them, not once a suffix
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "posexplode" not in plan
