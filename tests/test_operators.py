@@ -153,3 +153,23 @@ def test_categories(spark):
     rows = {"src/a.ts": "source", "src/a.test.ts": "test", "docs/x.md": "docs", "a.png": "asset", "package.json": "config", ".github/workflows/ci.yml": "infrastructure", "db/migrations/1.ts": "database", "x/fixtures/a.bin": "test-fixture", "blob": "unknown", "scripts/x.py": "script"}
     df = spark.createDataFrame([(k,) for k in rows], "path string")
     assert {r.path: r.c for r in df.select("path", delta.category("path").alias("c")).collect()} == rows
+
+
+def test_reach_by_hubs(spark):
+    # a ring that all come to, tails before and after it, and an island with a ring of its own
+    rng = random.Random(5)
+    ring = [(i, (i + 1) % 30) for i in range(30)] + [(i, 0) for i in range(0, 30, 3)] + [(0, i) for i in range(0, 30, 4)]
+    edges = ring + [(100 + i, rng.randrange(30)) for i in range(40)] + [(200 + i, 100 + i) for i in range(20)] + [(5, 300), (300, 301)] + [(400 + i, 400 + (i + 1) % 7) for i in range(7)] + [(500, 301), (501, 400), (501, 3)]
+    roots = [*range(200, 220), 100, 7, 300, 402, 500, 501, 999]
+    want = set()
+    for r in roots:
+        seen, todo = {r}, [r]
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        want |= {(r, x) for x in seen}
+    got = [tuple(r) for r in graph.reach(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r, r) for r in roots], "root long, node long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
