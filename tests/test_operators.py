@@ -5,10 +5,13 @@ from collections import deque
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ripplet.functions import globs
 from ripplet.operators import ci, delta, graph, history, inference, selection, verdicts
 from ripplet.plans import impact
+from tests.compare import duck
 
 
 def test_closure_and_paths_against_a_queue(spark):
@@ -155,6 +158,18 @@ def test_categories(spark):
     assert {r.path: r.c for r in df.select("path", delta.category("path").alias("c")).collect()} == rows
 
 
+def test_dependents_to_the_depth_of_the_sql(spark, tmp_path):
+    # a chain of parts from 40 to 60, each of which loads the next; 57 and 60 are changed
+    lines = [(p, n, p + n - 1) for p in range(40, 60) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").selectExpr("*", "1.0D as l_quantity", "'R' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 101).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.root, r.node): r.depth for r in entry.queries()["graph_dependents"](spark, str(tmp_path)).collect()}
+    assert got[60, 48] == 12 and (60, 47) not in got
+    columns, want = duck(str(tmp_path), entry.oracle_sql()["graph_dependents"])
+    at = [columns.index(c) for c in ("root", "node", "depth")]
+    assert got == {(r[at[0]], r[at[1]]): r[at[2]] for r in want}
+
+
 def test_reach_by_hubs(spark):
     # a ring that all come to, tails before and after it, and an island with a ring of its own
     rng = random.Random(5)
