@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplet.functions.globs import route, task_glob
 from ripplet.functions.paths import ancestors, basename, dirname
+from ripplet.runtime import again, pairs, store
 
 
 def nearest_ancestor(paths: DataFrame, owners: DataFrame) -> DataFrame:
@@ -20,20 +21,30 @@ def under(paths: DataFrame, dirs: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(ancestors("path")).alias("dir")).join(dirs.select("dir").distinct(), "dir").select("path", "dir")
 
 
+def _matching(paths: DataFrame, globs: list[tuple[str, str]]) -> DataFrame:
+    """(path, owners): the owners of the globs that fit, where there are some."""
+    hits = F.filter(F.array(*(F.when(F.col("path").rlike(task_glob(g)), F.lit(o)) for o, g in globs)), lambda x: x.isNotNull())
+    return paths.select("path", F.array_distinct(hits).alias("owners")).where(F.size("owners") > 0)
+
+
 def glob_matches(paths: DataFrame, globs: list[tuple[str, str]]) -> DataFrame:
     """(path, owner) of paths(path) and a list of (owner, task glob).
 
     Patterns are a bounded list of the driver: one projection tests all of them, without a join.
     """
-    hits = F.filter(F.array(*(F.when(F.col("path").rlike(task_glob(g)), F.lit(o)) for o, g in globs)), lambda x: x.isNotNull())
-    return paths.select("path", F.explode(F.array_distinct(hits)).alias("owner"))
+    return _matching(paths, globs).select("path", F.explode("owners").alias("owner"))
 
 
 def declared_tests(changed: DataFrame, tests: DataFrame, declarations: list[tuple[str, str]]) -> DataFrame:
-    """(path, test): tests whose glob a declaration (input glob, test glob) gives for a changed path."""
-    inputs = glob_matches(changed.select("path"), [(str(i), g) for i, (g, _) in enumerate(declarations)])
-    wanted = glob_matches(tests.select("path"), [(str(i), g) for i, (_, g) in enumerate(declarations)])
-    return inputs.join(wanted.withColumnRenamed("path", "test"), "owner").select("path", "test").distinct()
+    """(path, test): tests whose glob a declaration (input glob, test glob) gives for a changed path.
+
+    Paths meet tests by the set of declarations that they fit, so that each pair is made once and none has to be dropped.
+    """
+    inputs = store(_matching(changed.select("path").distinct(), [(str(i), g) for i, (g, _) in enumerate(declarations)]), "declared-inputs")
+    wanted = store(_matching(tests.select("path").distinct(), [(str(i), g) for i, (_, g) in enumerate(declarations)]).toDF("test", "theirs"), "declared-tests")
+    # sets of declarations, not paths: a bounded list
+    met = again(inputs).select("owners").distinct().crossJoin(again(wanted).select("theirs").distinct()).where(F.arrays_overlap("owners", "theirs"))
+    return pairs(inputs.join(F.broadcast(met), "owners").select("path", "theirs"), wanted, ["theirs"]).select("path", "test")
 
 
 def task_triggers(changed: DataFrame, tasks: list[tuple[str, str]]) -> DataFrame:

@@ -188,3 +188,13 @@ def test_reach_by_hubs(spark):
         want |= {(r, x) for x in seen}
     got = [tuple(r) for r in graph.reach(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r, r) for r in roots], "root long, node long")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_declared_tests_are_made_once(spark):
+    changed = spark.createDataFrame([("a/x.sql",), ("a/y.sql",), ("b/z.md",), ("a/x.sql",)], "path string")
+    tests = spark.createDataFrame([("t/1.test.ts",), ("t/2.test.ts",), ("u/3.test.ts",)], "path string")
+    out = selection.declared_tests(changed, tests, [("**/*.sql", "t/*"), ("a/x*", "**/*.test.ts"), ("b/**", "u/*")])
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([("a/x.sql", f"{d}.test.ts") for d in ("t/1", "t/2", "u/3")] + [("a/y.sql", f"t/{n}.test.ts") for n in (1, 2)] + [("b/z.md", "u/3.test.ts")])
+    # what makes rows distinct comes before the join that makes the pairs
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
