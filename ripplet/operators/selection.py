@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.functions.globs import route, task_glob
 from ripplet.functions.paths import ancestors, basename, dirname
-from ripplet.runtime import again, pairs, store
+from ripplet.runtime import again, pairs, store, tasks
 
 
 def nearest_ancestor(paths: DataFrame, owners: DataFrame) -> DataFrame:
@@ -74,9 +74,11 @@ def coverage_additions(coverage: DataFrame, changed: DataFrame, selected: DataFr
 
 def fixture_owners(fixtures: DataFrame, tests: DataFrame) -> DataFrame:
     """(path, test): the tests of the nearest directory above a fixture that holds tests directly."""
-    up = fixtures.select("path", F.posexplode(ancestors("path")).alias("steps", "dir"))
-    near = up.join(tests.select(dirname("path").alias("dir"), F.col("path").alias("test")), "dir")
-    return near.withColumn("r", F.rank().over(Window.partitionBy("path").orderBy("steps"))).where("r = 1").select("path", "test")
+    n, owned = tasks(fixtures.sparkSession), tests.select(dirname("path").alias("dir"), F.col("path").alias("test"))
+    up = fixtures.select("path", F.posexplode(ancestors("path")).alias("steps", "dir")).join(owned.select("dir").distinct(), "dir", "left_semi")
+    # the directory is found before its tests are joined
+    near = up.groupBy("path").agg(F.min_by("dir", "steps").alias("dir"))
+    return near.repartition(n, "dir").join(owned.repartition(n, "dir"), "dir").select("path", "test")
 
 
 def route_visits(visits: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ripplet.functions import globs
-from ripplet.operators import ci, delta, graph, history, inference, selection, verdicts
+from ripplet.operators import ci, delta, graph, history, inference, routing, selection, verdicts
 from ripplet.plans import impact
 from tests.compare import duck
 
@@ -198,3 +198,11 @@ def test_declared_tests_are_made_once(spark):
     assert got == sorted([("a/x.sql", f"{d}.test.ts") for d in ("t/1", "t/2", "u/3")] + [("a/y.sql", f"t/{n}.test.ts") for n in (1, 2)] + [("b/z.md", "u/3.test.ts")])
     # what makes rows distinct comes before the join that makes the pairs
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
+
+
+def test_fixture_owners_find_the_directory_first(spark):
+    f = spark.createDataFrame([("a/b/x.json",), ("a/c/y.json",), ("z.json",)], "path string")
+    t = spark.createDataFrame([("a/1.test.ts",), ("a/b/2.test.ts",), ("a/b/3.test.ts",)], "path string")
+    out = selection.fixture_owners(f, t)
+    assert sorted(tuple(r) for r in out.collect()) == [("a/b/x.json", "a/b/2.test.ts"), ("a/b/x.json", "a/b/3.test.ts"), ("a/c/y.json", "a/1.test.ts")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
