@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -99,3 +100,8 @@ def cost_model(saved_minutes: Column, price: float, watts: float, grams_per_kwh:
             raise ValueError("factors must be finite and not negative")
     kwh = saved_minutes / 60 * watts / 1000
     return F.struct((saved_minutes * price).alias("cost"), kwh.alias("kwh"), (kwh * grams_per_kwh).alias("grams"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once; a plain column would be computed again at each use, in a lambda once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.functions.values import half_up, upper_median
+from ripplet.functions.values import half_up, let, upper_median
 
 HALF_LIFE = 20.0
+#: Tests a block of the greedy fold.
+BLOCK = 256
 CHANGED_TEST_REASONS = ("DIRECT_TEST_CHANGE", "ADDED_TEST")
 
 
@@ -60,15 +62,25 @@ def shards(tests: DataFrame, times: DataFrame, total: int) -> DataFrame:
     rows = tests.select("selection", "test").distinct().join(times, "test", "left")
     packed = rows.groupBy("selection").agg(F.collect_list(F.struct("test", "ms")).alias("rows"))
     known = upper_median(F.filter(F.transform("rows", lambda r: r.ms), lambda x: x.isNotNull()))
-    order = F.array_sort(F.transform("rows", lambda r: F.struct((-F.coalesce(r.ms, F.col("mid"))).alias("minus"), r.test.alias("test"))))
-    start = F.struct(F.array_repeat(F.lit(0.0), total).alias("load"), F.expr("cast(array() as array<struct<test:string,shard:int>>)").alias("out"))
+    in_order = lambda mid: F.array_sort(F.transform("rows", lambda r: F.struct((-F.coalesce(r.ms, mid)).alias("minus"), r.test.alias("test"))))
+    loads = F.array_repeat(F.lit(0.0), total)
 
     def add(acc, x):
         at = F.array_position(acc.load, F.array_min(acc.load)).cast("int")
         load = F.transform(acc.load, lambda v, i: F.when(i == at - 1, v - x.minus).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc.out, F.array(F.struct(x.test.cast("string").alias("test"), (at - 1).alias("shard")))).alias("out"))
+        return let(F.struct(load.alias("load"), at.alias("at")), lambda y: F.struct(y.load.alias("load"), F.concat(acc.out, F.array(F.struct(x.test.cast("string").alias("test"), (y.at - 1).alias("shard")))).alias("out")))
 
-    folded = packed.withColumn("mid", F.coalesce(known, F.lit(1.0))).withColumn("order", order).select("selection", F.aggregate("order", start, add, lambda acc: acc.out).alias("out"))
+    def add_block(acc, block):
+        # the places of a block are gathered apart, so that no step copies all places before it
+        start = F.struct(acc.load.alias("load"), F.expr("cast(array() as array<struct<test:string,shard:int>>)").alias("out"))
+        return let(F.aggregate(block, start, add), lambda y: F.struct(y.load.alias("load"), F.concat(acc.out, F.array(y.out)).alias("out")))
+
+    def fold(order):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(order) - 1) / BLOCK).cast("int")), lambda i: F.slice(order, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(loads.alias("load"), F.expr("cast(array() as array<array<struct<test:string,shard:int>>>)").alias("out"))
+        return F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc.out))
+
+    folded = packed.select("selection", let(F.coalesce(known, F.lit(1.0)), lambda mid: let(in_order(mid), fold)).alias("out"))
     return folded.select("selection", F.inline("out"))
 
 

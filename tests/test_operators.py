@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import deque
 
 import pytest
@@ -206,3 +207,21 @@ def test_fixture_owners_find_the_directory_first(spark):
     out = selection.fixture_owners(f, t)
     assert sorted(tuple(r) for r in out.collect()) == [("a/b/x.json", "a/b/2.test.ts"), ("a/b/x.json", "a/b/3.test.ts"), ("a/c/y.json", "a/1.test.ts")]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shards_of_many_tests(spark):
+    # 20,000 tests of one selection: a step of the fold that copies all places before it takes minutes
+    n = 20_000
+    tests = spark.range(n).selectExpr("1 as selection", "concat('t', lpad(cast(id as string), 6, '0')) as test")
+    times = spark.range(n).where("id % 3 <> 0").selectExpr("concat('t', lpad(cast(id as string), 6, '0')) as test", "cast(id % 17 + 1 as double) as ms")
+    began = time.time()
+    got = {r.test: r.shard for r in history.shards(tests, times, 4).collect()}
+    assert time.time() - began < 60
+    ms = {f"t{i:06}": float(i % 17 + 1) for i in range(n) if i % 3}
+    known = sorted(ms.values())
+    loads, want = [0.0] * 4, {}
+    for t in sorted((f"t{i:06}" for i in range(n)), key=lambda t: (-ms.get(t, known[len(known) // 2]), t)):
+        k = loads.index(min(loads))
+        loads[k] += ms.get(t, known[len(known) // 2])
+        want[t] = k
+    assert got == want
