@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.functions.paths import basename, dirname, extension
+from ripplet.functions.values import let
 
 CHANGE_TYPES = {"A": "added", "C": "copied", "D": "deleted", "M": "modified", "R": "renamed", "T": "type-changed", "U": "unmerged"}
 SOURCE = ".rs .go .py .vue .ts .tsx .mts .cts .js .jsx .mjs .cjs".split()
@@ -92,13 +93,19 @@ MANIFEST_FIELDS = {"dependencies": "dependencies", "devDependencies": "dependenc
 
 def manifest_change(before: str | Column, after: str | Column) -> Column:
     """none, metadata, dependencies, scripts or resolution: the worst change between two manifests' top-level fields; text that isn't a JSON object is resolution."""
-    b, a = (F.from_json(x, "map<string,string>") for x in (before, after))
-    keys = F.array_union(F.map_keys(b), F.map_keys(a))
-    changed = F.filter(keys, lambda k: ~F.try_element_at(b, k).eqNullSafe(F.try_element_at(a, k)))
     kinds = F.create_map(*(F.lit(x) for kv in MANIFEST_FIELDS.items() for x in kv))
-    found = F.transform(changed, lambda k: F.coalesce(F.try_element_at(kinds, k), F.lit("metadata")))
-    has = lambda k: F.array_contains(found, k)
-    return F.when(b.isNull() | a.isNull(), "resolution").when(F.size(changed) == 0, "none").when(has("resolution"), "resolution").when(has("scripts"), "scripts").when(has("dependencies"), "dependencies").otherwise("metadata")
+
+    def worst(m):
+        changed = F.filter(F.array_union(F.map_keys(m.b), F.map_keys(m.a)), lambda k: ~F.try_element_at(m.b, k).eqNullSafe(F.try_element_at(m.a, k)))
+        found = F.transform(changed, lambda k: F.coalesce(F.try_element_at(kinds, k), F.lit("metadata")))
+        return F.when(m.b.isNull() | m.a.isNull(), "resolution").otherwise(let(found, ranked))
+
+    def ranked(found):
+        has = lambda k: F.array_contains(found, k)
+        return F.when(F.size(found) == 0, "none").when(has("resolution"), "resolution").when(has("scripts"), "scripts").when(has("dependencies"), "dependencies").otherwise("metadata")
+
+    # each text is parsed once
+    return let(F.struct(*(F.from_json(x, "map<string,string>").alias(n) for n, x in (("b", before), ("a", after)))), worst)
 
 
 def word_edit(before: str | Column, after: str | Column) -> Column:

@@ -225,3 +225,10 @@ def test_shards_of_many_tests(spark):
         loads[k] += ms.get(t, known[len(known) // 2])
         want[t] = k
     assert got == want
+
+
+def test_manifests_are_parsed_once(spark):
+    rows = [('{"a":1}', "no json"), ('{"name":"a"}', '{"name":"b"}'), ('{"scripts":{"t":"x"}}', "{}"), ("{}", "{}"), (None, "{}")]
+    df = spark.createDataFrame(rows, "b string, a string").select(delta.manifest_change("b", "a").alias("c"))
+    assert [r.c for r in df.collect()] == ["resolution", "metadata", "scripts", "none", "resolution"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
