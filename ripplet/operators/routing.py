@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripplet.functions.globs import test_glob
 from ripplet.functions.paths import ancestors, basename, module_key, package_root
 from ripplet.operators.rules import tool_subject
-from ripplet.runtime import again, store
+from ripplet.runtime import again, store, tasks
 
 _col = lambda x: F.col(x) if isinstance(x, str) else x
 CODE = r"\.[cm]?[jt]sx?$"
@@ -60,10 +60,11 @@ def documentation_path(path: str | Column) -> Column:
 
 def layout(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, is_documentation, is_script) of paths, by source roots(kind, path): a prefix join through ancestor directories."""
-    scripts = roots.where("kind in ('scripts', 'operations') and path <> ''").select(F.col("path").alias("dir")).distinct()
-    under = paths.select("path", F.explode(F.concat(F.array("path"), ancestors("path"))).alias("dir")).join(scripts, "dir").select("path").distinct()
-    out = paths.select("path").distinct().join(under.withColumn("is_script", F.lit(True)), "path", "left")
-    return out.select("path", documentation_path("path").alias("is_documentation"), F.coalesce("is_script", F.lit(False)).alias("is_script"))
+    scripts = roots.where("kind in ('scripts', 'operations') and path <> ''").select(F.col("path").alias("dir"), F.lit(True).alias("is_script")).distinct()
+    # spread by path first: what is kept a path is then a share of all, and paths are shuffled once
+    places = paths.select("path").repartition(tasks(paths.sparkSession), "path").select("path", F.explode(F.concat(F.array("path"), ancestors("path"))).alias("dir"))
+    out = places.join(scripts, "dir", "left").groupBy("path").agg(F.coalesce(F.bool_or("is_script"), F.lit(False)).alias("is_script"))
+    return out.select("path", documentation_path("path").alias("is_documentation"), "is_script")
 
 
 def python_source(path: str | Column) -> Column:

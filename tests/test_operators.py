@@ -232,3 +232,13 @@ def test_manifests_are_parsed_once(spark):
     df = spark.createDataFrame(rows, "b string, a string").select(delta.manifest_change("b", "a").alias("c"))
     assert [r.c for r in df.collect()] == ["resolution", "metadata", "scripts", "none", "resolution"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
+
+
+def test_layout_keeps_a_share_of_the_paths_a_task(spark):
+    paths = spark.range(500).selectExpr("concat('a/b', cast(id % 7 as string), '/f', cast(id as string), case when id % 2 = 0 then '.md' else '.ts' end) as path").coalesce(1)
+    roots = spark.createDataFrame([("scripts", "a/b3"), ("operations", "a/b4/f4.md"), ("source", "a"), ("scripts", "")], "kind string, path string")
+    out = routing.layout(paths.unionAll(paths), roots)
+    rows = {r.path: (r.is_documentation, r.is_script) for r in out.collect()}
+    assert out.count() == len(rows) == 500 and rows["a/b4/f4.md"] == (True, True) and rows["a/b4/f11.ts"] == (False, False)
+    assert sum(s for _, s in rows.values()) == sum(i % 7 == 3 for i in range(500)) + 1
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
