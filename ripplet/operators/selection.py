@@ -11,8 +11,11 @@ from ripplet.runtime import again, pairs, store, tasks
 
 
 def nearest_ancestor(paths: DataFrame, owners: DataFrame) -> DataFrame:
-    """(path, owner) of the nearest directory above each path that owners(dir, owner) has; an equi-join on exploded ancestors."""
-    up = paths.select("path", F.posexplode(ancestors("path")).alias("steps", "dir"))
+    """(path, owner) of the nearest directory above each path that owners(dir, owner) has; an equi-join on exploded ancestors.
+
+    Paths are spread by themselves first, so that what is kept a path is a share of all, however few tasks read them.
+    """
+    up = paths.select("path").repartition(tasks(paths.sparkSession), "path").select("path", F.posexplode(ancestors("path")).alias("steps", "dir"))
     return up.join(owners, "dir").groupBy("path").agg(F.min_by("owner", F.struct("steps", "owner")).alias("owner"))
 
 

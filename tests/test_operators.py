@@ -234,6 +234,14 @@ def test_manifests_are_parsed_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
 
 
+def test_nearest_ancestor_keeps_a_share_of_the_paths_a_task(spark):
+    paths = spark.range(500).selectExpr("concat('a/b', cast(id % 7 as string), '/f', cast(id as string)) as path").coalesce(1)
+    owners = spark.createDataFrame([("a", "all"), ("a/b3", "three")], "dir string, owner string")
+    out = selection.nearest_ancestor(paths, owners)
+    assert {r.path: r.owner for r in out.collect()} == {f"a/b{i % 7}/f{i}": "three" if i % 7 == 3 else "all" for i in range(500)}
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layout_keeps_a_share_of_the_paths_a_task(spark):
     paths = spark.range(500).selectExpr("concat('a/b', cast(id % 7 as string), '/f', cast(id as string), case when id % 2 = 0 then '.md' else '.ts' end) as path").coalesce(1)
     roots = spark.createDataFrame([("scripts", "a/b3"), ("operations", "a/b4/f4.md"), ("source", "a"), ("scripts", "")], "kind string, path string")
