@@ -250,3 +250,13 @@ def test_layout_keeps_a_share_of_the_paths_a_task(spark):
     assert out.count() == len(rows) == 500 and rows["a/b4/f4.md"] == (True, True) and rows["a/b4/f11.ts"] == (False, False)
     assert sum(s for _, s in rows.values()) == sum(i % 7 == 3 for i in range(500)) + 1
     assert out.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_failing_jobs_are_judged_once(spark):
+    runs = spark.createDataFrame([(1, "a", "CI", "failure"), (2, "b", "CI", "failure"), (3, "b", "CI", "success")], "run int, pr string, workflow_name string, conclusion string")
+    jobs = spark.createDataFrame([(1, 11, "lint", "failure", ["Run"], True), (2, 21, "lint", "failure", ["Run"], True), (2, 22, "E2E tests", "failure", ["Run"], True), (3, 31, "lint", "success", ["Run"], True)], "run int, job int, name string, conclusion string, failed_steps array<string>, steps_known boolean")
+    notes = spark.createDataFrame([(11, "x"), (21, "y"), (21, "y"), (31, "x")], "job int, signature string")
+    out = ci.own_failures(runs, jobs, notes)
+    assert sorted((r.run, r.job, r.bucket, r.ownership) for r in out.collect()) == [(1, 11, "check", "own"), (2, 21, "check", "own"), (2, 22, "ci-only", None)]
+    # what judges names stays out of the plan that reads them four times
+    assert "playwright" not in out._jdf.queryExecution().optimizedPlan().toString()
